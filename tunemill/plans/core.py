@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunemill.plans import problems
 from tunemill.session import source_name, table
 
 
@@ -17,5 +18,5 @@ def gate_counts(spark: SparkSession, d: str) -> DataFrame:
     return docs.groupBy(source_name("source").alias("source"), gate.alias("gate")).agg(F.count("*").alias("docs"), F.sum(F.greatest(F.lit(1), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4))).cast("bigint").alias("token_est"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"gate_counts": gate_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | {"gate_counts": gate_counts}
 SQL: dict[str, str] = {}
