@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.llm import budget, cutoff, encode, lines, mix
+from tunemill.llm import budget, chunking, cutoff, encode, lines, mix
 from tunemill.session import source_name, table
 
 
@@ -25,6 +25,15 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.without_repeated(docs, lines.repeated_lines(docs)).select("doc_id", source_name("source").alias("source"), "n_removed", "text")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    cut = chunking.pieces(table(spark, d, "documents"), table(spark, d, "chunking_cfg"), with_text=False)
+    return cut.where(F.col("piece_no") == 1).select("doc_id", "cut")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.pieces(table(spark, d, "documents"), table(spark, d, "chunking_cfg"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.document_cutoffs(table(spark, d, "documents"), table(spark, d, "keep_target"))
 
@@ -66,7 +75,7 @@ def p9_order(spark: SparkSession, d: str) -> DataFrame:
     return mix.positions(*_mix(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p3_found, p3_rows, p4_found, p4_budget, p8_ids, p9_found, p9_shares, p9_order)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_pieces, p3_found, p3_rows, p4_found, p4_budget, p8_ids, p9_found, p9_shares, p9_order)}
 
 _KEYED = """
 keyed as (select doc_id, lower(trim(source)) as source, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no,
@@ -86,7 +95,19 @@ cut as (select m.source, m.tier, max(c) as cutoff, min(kept) as kept from marks
     where kept / n >= target_frac group by all)
 """
 
+_STRETCH = """
+with limits as (select kind, min(max_chars) as most from chunking_cfg where max_chars > 0 group by kind),
+long as (select doc_id, text, most from documents join limits using (kind) where length(text) > most),
+rows as (select doc_id, most, unnest(range(1, len(string_split(text, chr(10))) + 1)) as no, unnest(string_split(text, chr(10))) as line from long),
+marked as (select *, trim(line, e' \\t\\r') = '' or regexp_full_match(line, '[ \\t\\r]*-{3}(-*|.*-{3})[ \\t\\r]*') as sep,
+    regexp_matches(line, '^#{1,4}[ \\t]') as head from rows),
+grouped as (select *, sum((sep or head)::int) over (partition by doc_id order by no) as stretch from marked),
+sized as (select doc_id, most, stretch, sum(length(line) + 1) - 1 as size from grouped where not sep group by all)
+select doc_id, case when coalesce(max(size), 0) > most then 'forced' else 'natural' end as cut from sized group by doc_id, most
+"""
+
 SQL: dict[str, str] = {
+    "p2_found": _STRETCH,
     "p1_found": f"with {_KEYED} select doc_id, line_no::int as line_no from letters join sure using (source, key)",
     "p1_lines": f"with {_KEYED} select source, key, n_docs, of_docs from sure",
     "p3_found": _CUT + "select source, tier, cutoff::int as cutoff, kept from cut",
