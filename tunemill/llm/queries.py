@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tunemill.llm import budget, chunking, cutoff, encode, lines, mix, pairs
+from tunemill.llm import budget, chunking, cutoff, encode, lines, mix, pairs, spam
 from tunemill.session import source_name, table
 
 
@@ -79,7 +79,15 @@ def p9_order(spark: SparkSession, d: str) -> DataFrame:
     return mix.positions(*_mix(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_pieces, p3_found, p3_rows, p4_found, p4_budget, p6_found, p8_ids, p9_found, p9_shares, p9_order)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return spam.stuffed(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_pieces, p3_found, p3_rows, p4_found, p4_budget, p6_found, p8_ids, p9_found, p9_shares, p9_order, p10_found, p10_shares)}
 
 _KEYED = """
 keyed as (select doc_id, lower(trim(source)) as source, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no,
