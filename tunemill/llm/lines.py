@@ -133,17 +133,17 @@ def repeated_positions(docs: DataFrame, lines: DataFrame, cfg: LineCfg = LineCfg
 
 
 def without_repeated(docs: DataFrame, lines: DataFrame, cfg: LineCfg = LineCfg()) -> DataFrame:
-    """docs with its text less the lines in `lines`, the rest unchanged, and n_removed. All other columns stay.
+    """docs with its text less the lines in `lines`, the rest unchanged, and n_removed (a column of that name is replaced). All other columns stay.
 
     The set of a source has at most 1 / min_share times its mean lines per document, so one row carries it.
     """
-    sets = lines.groupBy(F.col("source").alias("_src")).agg(F.collect_list("key").alias("_set"))
+    sets = lines.groupBy(F.col("source").alias("_tm_src")).agg(F.collect_list("key").alias("_tm_set"))
     fits = lines.limit(cfg.broadcast_rows + 1).count() <= cfg.broadcast_rows
-    joined = docs.withColumn("_src", source_name("source")).join(F.broadcast(sets) if fits else sets, "_src", "left")
+    joined = docs.withColumn("_tm_src", source_name("source")).join(F.broadcast(sets) if fits else sets, "_tm_src", "left")
     pieces = F.arrays_zip(F.split("text", "\n", -1).alias("line"), line_keys(F.col("text"), cfg.min_letters).alias("key"))
-    left = F.filter(pieces, lambda x: x["key"].isNull() | ~F.array_contains("_set", x["key"]))
+    left = F.filter(pieces, lambda x: x["key"].isNull() | ~F.array_contains("_tm_set", x["key"]))
     gone = F.size(F.split("text", "\n", -1)) - F.size(left)
-    changed = F.col("_set").isNotNull() & F.col("text").isNotNull()
+    changed = F.col("_tm_set").isNotNull() & F.col("text").isNotNull()
     joined = joined.withColumn("n_removed", F.when(changed, gone).otherwise(0))
     joined = joined.withColumn("text", F.when(changed & (F.col("n_removed") > 0), F.array_join(F.transform(left, lambda x: x["line"]), "\n")).otherwise(F.col("text")))
-    return joined.drop("_src", "_set")
+    return joined.drop("_tm_src", "_tm_set")
