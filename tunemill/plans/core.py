@@ -1,22 +1,13 @@
-"""Queries of the core operators, and their SQL."""
+"""All queries of the core, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tunemill.plans import corpus, problems
+from tunemill.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tunemill.plans import problems
-from tunemill.session import source_name, table
-
-
-def gate_counts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    stripped = F.length(F.regexp_replace("text", r"^\s+|\s+$", ""))
-    gate = F.when(F.coalesce(stripped, F.lit(0)) < 40, "rejected:too_short").otherwise("kept")
-    return docs.groupBy(source_name("source").alias("source"), gate.alias("gate")).agg(F.count("*").alias("docs"), F.sum(F.greatest(F.lit(1), F.floor(F.coalesce(F.length("text"), F.lit(0)) / 4))).cast("bigint").alias("token_est"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = problems.QUERIES | {"gate_counts": gate_counts}
+PARTS = [corpus.query]
+QUERIES: dict[str, Query] = dict(problems.QUERIES)
 SQL: dict[str, str] = {}
+for part in PARTS:
+    QUERIES |= part.queries
+    SQL |= part.sql
