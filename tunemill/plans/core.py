@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tunemill.plans import corpus, problems
+from tunemill.plans import corpus, problems, telemetry
 from tunemill.plans.registry import Query
 
-PARTS = [corpus.query]
+PARTS = [corpus.query, telemetry.query]
 QUERIES: dict[str, Query] = dict(problems.QUERIES)
 SQL: dict[str, str] = {}
 for part in PARTS:
