@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tunemill.functions.text import terms
+from tunemill.session import settle, small
 
 #: Our own BM25 parameters, the fusion constant, candidates per ranking.
 K1, B, RRF_K, CANDIDATES = 1.2, 0.75, 60, 20
@@ -26,21 +27,25 @@ def top_terms(rows: DataFrame, key: str, text: Column, most: int = 12) -> DataFr
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("_first")
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """(term, key, tf, size): the inverted index, with each document's number of terms."""
+def postings(docs: DataFrame, key: str, text: Column, only: DataFrame | None = None) -> DataFrame:
+    """(term, key, tf, size): the inverted index, with each document's number of terms; of the terms of `only` if given."""
     all_terms = docs.select(key, terms(text).alias("_t")).where(F.size("_t") > 0)
     each = all_terms.select(key, F.size("_t").alias("size"), F.explode("_t").alias("term"))
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
     return each.groupBy("term", key, "size").agg(F.count("*").alias("tf"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, q: str, key: str, k: int = CANDIDATES) -> DataFrame:
+def bm25(queries: DataFrame, docs: DataFrame, q: str, key: str, text: Column, k: int = CANDIDATES) -> DataFrame:
     """(q, key, score, rank) of the k best documents of each query(q, term); equal scores by key.
 
-    Scores are added up where the postings are; a query term's postings are met once per query that has it.
+    Only the postings of terms that some query has are built, once; documents without terms count nowhere.
     """
-    sizes = index.select(key, "size").distinct().agg(F.count("*").alias("_n"), F.avg("size").alias("_avg"))
+    asked = settle(queries.select(q, "term").distinct())
+    index = settle(postings(docs, key, text, small(asked.select("term").distinct())))
+    sizes = docs.select(F.size(terms(text)).alias("_s")).where("_s > 0").agg(F.count("*").alias("_n"), F.avg("_s").alias("_avg"))
     df = index.groupBy("term").agg(F.count("*").alias("_df"))
-    wanted = queries.select(q, "term").distinct().join(df, "term").crossJoin(F.broadcast(sizes))
+    wanted = asked.join(df, "term").crossJoin(F.broadcast(sizes))
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("_avg")))
     scores = wanted.join(index, "term").groupBy(q, key).agg(F.round(F.sum(idf * tf), 6).alias("score"))

@@ -1,8 +1,8 @@
-"""Near-duplicate texts by the Jaccard similarity of their word sets: exact links, classes, and greedy exemplars.
+"""Near-duplicate texts by the Jaccard similarity of their sets of word shingles: exact links and classes.
 
-Equal sets are one class before anything is joined. Sets over a threshold t share a word among the first
-|s| - ceil(t * |s|) + 1 of their words in the order of rarity, so a join on those prefix words loses no link; the order is
-made from all texts, the rarest words first, which keeps the groups of a prefix word small. Pairs come out between class
+Equal sets are one class before anything is joined. Sets of similarity t or more share a shingle among the first
+|s| - ceil(t * |s|) + 1 of theirs in the order of rarity, so a join on those prefixes loses no link; the order is made
+from all texts, the rarest first, which keeps the groups of a prefix shingle small. Pairs come out between class
 representatives only, with the membership beside them.
 """
 
@@ -14,33 +14,39 @@ from pyspark.sql import functions as F
 from tunemill.session import settle
 
 
-def words(text: Column) -> Column:
-    """Distinct runs of three or more letters a to z."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})")))
+def shingles(text: Column, n: int = 5) -> Column:
+    """Distinct hashes of runs of n words in lower case; a shorter text is one run, a text without words has none."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
 
+    def runs(w: Column) -> Column:  # w is bound once; in the expression itself it would be extracted anew for each run
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        return F.when(F.size(w) > 0, F.array_distinct(each))
 
-def classes(rows: DataFrame, key: str, text: Column) -> tuple[DataFrame, DataFrame]:
+    return F.element_at(F.transform(F.array(words), runs), 1)
+
+
+def classes(rows: DataFrame, key: str, text: Column, n: int = 5) -> tuple[DataFrame, DataFrame]:
     """Membership (key, rep) of every row with words, and one row (rep, set) for each different set."""
-    sets = rows.select(F.col(key).alias("_k"), F.array_sort(words(text)).alias("_s")).where(F.size("_s") > 0)
-    hashed = sets.withColumn("_h", F.sha2(F.array_join("_s", " "), 256))
+    sets = rows.select(F.col(key).alias("_k"), F.array_sort(shingles(text, n)).alias("_s")).where(F.size("_s") > 0)
+    hashed = sets.withColumn("_h", F.sha2(F.array_join(F.transform("_s", lambda x: x.cast("string")), " "), 256))
     reps = settle(hashed.groupBy("_h").agg(F.min("_k").alias("rep"), F.first("_s").alias("set")))
     return hashed.join(reps.select("_h", "rep"), "_h").select(F.col("_k").alias(key), "rep"), reps.select("rep", "set")
 
 
 def links(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of representatives a < b with similarity over the threshold, each pair once."""
+    """(a, b, similarity) of representatives a < b with similarity of at least the threshold, each pair once."""
     each = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("w"))
     rarity = each.groupBy("w").agg(F.count("*").alias("_df"))
     ordered = each.join(rarity, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("_df", "w"))).alias("_o"))
     need = F.ceil(F.col("n") * F.lit(threshold)).cast("int")
     prefix = ordered.select("rep", "n", F.explode(F.slice("_o", F.lit(1), F.col("n") - need + 1)).alias("x")).select("rep", "n", F.col("x.w").alias("w"))
     a, b = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "w")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") > F.lit(threshold) * F.greatest("na", "nb"))
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
     pairs = a.join(b, "w").where(close).select("a", "b").distinct()
     full = pairs.join(reps.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     s = both / (F.size("sa") + F.size("sb") - both)
-    return full.withColumn("similarity", s).where(F.col("similarity") > threshold).select("a", "b", "similarity")
+    return full.withColumn("similarity", s).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "rep", rounds: int = 30) -> DataFrame:

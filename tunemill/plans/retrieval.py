@@ -34,7 +34,7 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     asked = docs.where("doc_id % 20 = 0")
     terms = R.top_terms(asked, "doc_id", F.col("title")).withColumnRenamed("doc_id", "q")
-    return R.bm25(terms, R.postings(docs, "doc_id", F.col("text")), "q", "doc_id")
+    return R.bm25(terms, docs, "q", "doc_id", F.col("text"))
 
 
 @query(f"with {_BM25} select q, doc_id, score, rank::int as rank from bm")
@@ -119,11 +119,9 @@ def scl17_parts(spark, d):
     return table(spark, d, "documents").where(F.col("source_id").isNotNull()).select("doc_id", p.alias("parent"), F.row_number().over(Window.partitionBy(p).orderBy("doc_id")).alias("part"))
 
 
-@query("""with s as (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as s from documents where text is not null), n as (select * from s where len(s) > 0), r as (select min(doc_id) as rep, s from n group by s)
-select a.rep as a, b.rep as b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) as similarity from r a join r b on a.rep < b.rep and least(len(a.s), len(b.s)) > 0.8 * greatest(len(a.s), len(b.s))
-where len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) > 0.8""")
+@query()
 def set01_links(spark, d):
-    """Links over 0.8 between different word sets."""
+    """Links of 0.8 or more between different sets of five-word shingles."""
     _, reps = sets.classes(table(spark, d, "documents"), "doc_id", F.col("text"))
     return sets.links(reps, 0.8).withColumn("similarity", F.round("similarity", 6))
 
