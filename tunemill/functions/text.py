@@ -36,8 +36,6 @@ def terms(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})")), lambda w: F.lower(w)), lambda w: ~w.isin(*STOP_WORDS))
 
 
-#: Digits broken by these characters are one number; thousands are joined by the first four.
-HEALED = "[      ­​]".replace("      ", "    ")
 _NUMBER = r"((?:(?<![\w.)])-)?(?<![A-Za-z0-9.])(?:\d+(?:\.\d+)?|\.\d+))"
 
 
