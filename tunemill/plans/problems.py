@@ -28,11 +28,12 @@ def p7_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shifts(spark: SparkSession, d: str) -> DataFrame:
-    """Unit changes in the history of each probe's answers, taken as bare numbers in the order of time."""
-    answers = table(spark, d, "e2_answers")
-    values = p7_values(spark, d).select("row_id", "quantity", "value_lo")
-    rows = answers.select("row_id", "probe_id", "created_at").join(values, "row_id")
-    return units.unit_shifts(rows, ["probe_id"], "created_at", "value_lo", "quantity")
+    """Unit changes in the history of each probe's answers, their figures taken as written and bare, in the order of time.
+
+    Beside each change found stand the units that the answers state, or that are expected of them where they state none.
+    """
+    rows = units.figures(table(spark, d, "e2_answers"), ["probe_id", "created_at"])
+    return units.unit_shifts(rows, ["probe_id"], "created_at", "figure", "quantity", unit="unit")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_cutoffs, p7_found, p7_values, p7_shifts)}
