@@ -12,6 +12,7 @@ from tunemill.operators import ordered as O
 from tunemill.operators import retrieval as R
 from tunemill.operators import sets
 from tunemill.operators import simulation as S
+from tunemill.plans import core
 
 
 def test_near_duplicates_match_brute_force(spark):
@@ -47,6 +48,13 @@ def test_near_duplicates_match_brute_force(spark):
     assert out == {i: find(i) for i in have}
 
 
+def test_classes_have_a_row_for_each_document(spark, tmp_path):
+    rows = [(1, "one two three"), (2, "ONE two  three"), (3, None), (4, ""), (5, " .. !\n"), (6, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = core.QUERIES["set01_classes"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r["class"], r.links) for r in out) == [(1, 1, 0), (2, 1, 0), (3, 3, 0), (4, 4, 0), (5, 5, 0), (6, 6, 0)]
+
+
 def test_ordered_matches_a_plain_window(spark):
     rng, t0 = random.Random(1), datetime(2025, 1, 1)
     rows = [(rng.choice(["a", "b", None]), t0 + timedelta(hours=rng.randint(0, 90)), i, rng.choice([None, 1, 2])) for i in range(300)]

@@ -65,13 +65,20 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "rep", rounds: in
     return label.select(F.col("_n").alias(node), F.col("_c").alias("class"))
 
 
-def near_duplicates(rows: DataFrame, key: str, text: Column, threshold: float = 0.8) -> DataFrame:
-    """(key, class, links): every row with its class and the number of links of its representative."""
+def near_duplicates(rows: DataFrame, key: str, text: Column, threshold: float = 0.8, wordless: bool = False) -> DataFrame:
+    """(key, class, links): every row with words, its class and the number of links of its representative.
+
+    With `wordless` rows whose text is null or has no word come out too, each as a class of its own without links.
+    """
     member, reps = classes(rows, key, text)
     found = settle(links(reps, threshold))
     degree = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     named = components(reps, found).join(degree, "rep", "left")
-    return member.join(named, "rep").select(key, "class", F.coalesce("links", F.lit(0)).alias("links"))
+    out = member.join(named, "rep").select(key, "class", F.coalesce("links", F.lit(0)).alias("links"))
+    if not wordless:
+        return out
+    none = rows.where(F.coalesce(F.size(shingles(text)), F.lit(0)) <= 0).select(key, F.col(key).alias("class"), F.lit(0).cast("bigint").alias("links"))
+    return out.unionByName(none)
 
 
 def first_seen(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -128,7 +128,8 @@ def set01_links(spark, d):
 
 @query()
 def set01_classes(spark, d):
-    return sets.near_duplicates(table(spark, d, "documents"), "doc_id", F.col("text"), 0.8)
+    """One row for each document; those without a word are classes of their own."""
+    return sets.near_duplicates(table(spark, d, "documents"), "doc_id", F.col("text"), 0.8, wordless=True)
 
 
 @query("select min(doc_id) as doc_id, url from documents where url is not null group by url")
