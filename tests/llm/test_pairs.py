@@ -30,6 +30,29 @@ def test_cases(spark):
     assert sum(r.row_id == 0 for r in pairs.defects(d.unionByName(d.where("row_id < 3"))).collect()) == 2
 
 
+@pytest.mark.parametrize(("want", "content", "prompt"), [
+    (True, "Why is it lean?", "Why is it lean?\nAnswer as JSON."), (True, "Name the cause.", "1 | 2\n\nName the cause.\nAnswer as JSON."), (True, "why?", "Why?"), (True, "maf_low", "maf_low"),
+    (True, "Why is it lean?", "1 | 2\n\nWhy is it lean?\n\nAnswer as JSON."), (True, "S15 is what I mean.", "".join(f"S{i} is what I mean. " for i in range(16))),
+    (True, "".join(f"s{i} is what I mean. " for i in range(14)), "".join(f"S{i} is what I mean. " for i in range(20))),
+    (True, "Sure, here is once more the question which you asked me to look at in these logs: Why is it lean?", "Why is it lean?"), (True, "Thanks for sharing all of your logs with me today. Why is it lean?", "Why is it lean?"),
+    (False, "maf_low", "Pick one:\nmaf_low\nmaf_high"), (False, "I wonder why?", "Rows\n\nWhy?"), (False, GOOD + " Why is it lean?", "Why is it lean?"), (False, "1 | 2 | 3", EN), (False, "", "Why?"),
+])
+def test_copies_by_position(want, content, prompt):
+    assert pairs.is_copy(content, prompt) is want
+
+
+def test_an_option_that_is_the_answer_is_no_copy():
+    assert not pairs.is_copy("The injector is too small.", "Pick one.\nThe injector is too small.\nThe pump is worn.", "The injector is too small.")
+
+
+@pytest.mark.parametrize(("want", "text"), [
+    (True, "I'm sorry, but I can't help with this. " * 10), (True, "I can't comment on these 300 samples."), (True, "Leider kann ich zu den 12 Tabellen nichts sagen."),
+    (False, "The trims cannot come from the sensor, they fall from 33.6 to 12.1 at 666 rpm."), (False, GOOD),
+])
+def test_refusals_of_any_length(want, text):
+    assert pairs.is_refusal(text) is want
+
+
 @pytest.mark.parametrize("text", ["", "a", GOOD, "x" * 100_000, "1. 2. 3."])
 def test_any_text(text):
     for p in (None, "", EN):

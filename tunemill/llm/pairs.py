@@ -3,9 +3,8 @@
 One defect per row, the first that holds:
 
 * `empty`: null, or without a letter or digit, or JSON (fenced or not) without any value.
-* `copy`: compressed with its prompt as a zstandard dictionary the response takes almost nothing, and it is then confirmed
-  to be the prompt, or a stretch of whole lines or sentences of it that reaches to the end of its question, apart from
-  case, white space, quotes and a prefix of a word or two.
+* `copy`: it is the prompt, or a stretch of whole lines or sentences of it with its question, found by position, apart
+  from case, white space, quotes and a prefix: a few words, courtesies, or a clause that a colon ends.
 * `refusal`: some sentence declines by the dictionary of its language, and no other says anything but courtesies.
 * `truncated`: broken JSON or an open fence; or the text ends without an end of a sentence and a model of terminal
   contexts finds that what it ends with is not what ends a line. The model counts, over all responses, how often the last
@@ -68,6 +67,8 @@ _COURTESY = re.compile(
     r"|hallo|danke|leider|bitte|tut mir leid|verständnis|werkstatt|fachbetrieb|bonjour|merci|désolée?|veuillez|adressez|voyez|consultez|garage|compréhension"
     r"|hola|gracias|lo siento|consulta|consulte|acud[ea]|taller|comprensión|profesional|professionn?el|mechanic|technician|ciao|grazie|olá|obrigad[oa])\b"
 )
+#: Words and verb forms of the first person, and nouns that decline without it.
+_PERSON = re.compile(r"(?i)\b(?:i|we|me|my|us|ich|wir|mir|uns|je|j|m|nous|puedo|estoy|doy|debo|voy|quiero|niego|rechazo|declino|prefiero|posso|sono|rifiuto|estou|consigo|recuso|ik|weiger|no (?:answer|diagnosis|advice|comment))\b")
 _WORD = re.compile(r"[^\W\d_]+")
 _FENCE = re.compile(r"```[^\n`]*\n?(.*?)(?:```|\Z)", re.S)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]|_")
@@ -110,40 +111,67 @@ def _flat(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def is_copy(content: str, prompt: str) -> bool:
-    """Is content the prompt, or a part of it to the end of its question, but for case, white space, quotes and a prefix?"""
-    import zstandard
-
-    c, p = _flat(content), _flat(prompt)
-    if len(c) < 12 or not p:
-        return False
-    raw = c.encode()
-    packed = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(p.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(raw)
-    if len(packed) > 48 + 0.1 * len(raw):
-        return False
-    core = c.strip("\"'“”«»„`*_> ")
-    question = [q for x in re.split(r"(?<=[.!?])\s+", prompt.rstrip().rsplit("\n", 1)[-1]) if (q := _flat(x))]
-    runs = {" ".join(question[i:j]) for i in range(min(len(question), 12)) for j in range(i + 1, min(len(question), i + 12) + 1)}
-    ends = {x.rstrip("\"' ") for x in {p, p.removesuffix(question[-1] if len(question) > 1 else "").rstrip(), *runs}}
-    for whole in sorted(ends, key=len, reverse=True):
-        if len(whole) >= 16 and core.endswith(whole):
-            prefix = core[: len(core) - len(whole)].strip()
-            if len(prefix) <= 40 and len(prefix.split()) <= 4:
+_QUOTES = "\"'“”«»„`*_> "
+
+
+def is_copy(content: str, prompt: str, answer: str | None = None) -> bool:
+    """Is content the prompt, or a stretch of its sentences with its question, but for case, white space, quotes and a prefix?
+
+    Stretches are met by position: from each end of a sentence where content could end, back over the sentences before it
+    as long as they agree. With the question means: the whole prompt, or with a sentence that ends in a question mark, or
+    with one of the last paragraph that isn't a bare short option or the row's answer.
+    """
+    core = _flat(content).strip(_QUOTES)
+    if not core or re.search(r"\w*[^\w\s]*$", core).group() not in _flat(prompt):
+        return False  # a copy ends in a word of the prompt
+    text = prompt.replace("\r\n", "\n").rstrip()
+    final = max((m.end() for m in re.finditer(r"\n\s*\n", text)), default=0)
+    parts = [(q, asks) for x, asks in ((text[:final], False), (text[final:], True)) for y in re.split(r"(?<=[.!?])\s+|\n+", x) if (q := _flat(y))]
+    own = answer is not None and core.rstrip(".") == _flat(answer).rstrip(".")
+    for end in range(len(parts), 0, -1):
+        whole, asked = "", False
+        for i in range(end - 1, -1, -1):
+            q, asks = parts[i]
+            whole = f"{q} {whole}" if whole else q.rstrip("\"' ")
+            bare = whole.lstrip(_QUOTES)
+            if not bare or not core.endswith(bare):
+                break
+            bounded = q.endswith(("?", "？")) or (len(q) >= 16 or (len(q.split()) > 1 and q.endswith((".", "!"))))
+            asked = asked or q.rstrip(_QUOTES).endswith(("?", "？")) or (asks and bounded and not own)
+            if (asked or (i == 0 and end == len(parts))) and _lead_in(core[: len(core) - len(bare)], len(bare)):
                 return True
     return False
 
 
+def _lead_in(before: str, size: int) -> bool:
+    """Is before only a prefix of what follows: a few words or none, courtesies, or a clause that a colon ends?"""
+    if before and before[-1].isalnum():
+        return False
+    prefix = before.strip()
+    if len(prefix.split()) <= 4 and len(prefix) <= 40:
+        return size >= 16 or not prefix[-1:].isalnum()
+    if prefix.rstrip(_QUOTES).endswith((":", "：")) and not re.search(r"[.!?。！？]\s", prefix):
+        return True
+    return all(_COURTESY.search(x) for x in sentences(prefix))
+
+
 def sentences(text: str) -> list[str]:
     parts = re.split(r"(?<=[.!?。！？])\s+|\n+", text)
     return [s for p in parts if (s := re.sub(r"^[\W_]*(?:note|hinweis|nota|remarque)\W+", "", p.strip(), flags=re.I)) and re.search(r"[^\W\d_]", s)]
 
 
 def is_refusal(text: str) -> bool:
-    parts = sentences(text)
-    if not parts or len(parts) > 8:
-        return False
-    declines = [bool(_REFUSAL.search(s)) and not re.search(r"\d", re.sub(r"\b[0-9]+ rows?\b", "", s)) for s in parts]
-    return any(declines) and all(d or _COURTESY.search(s) or len(_WORD.findall(s)) <= 4 for d, s in zip(declines, parts)) and len(_WORD.findall(text)) <= 80
+    """Does some sentence decline, and does each other decline too, or say courtesies or a few words only?
+
+    A sentence with figures declines only in the first person: `the trims can't come from 83 kPa` is a finding.
+    """
+    found = False
+    for s in sentences(text):
+        if _REFUSAL.search(s) and (not re.search(r"\d", re.sub(r"\b[0-9]+ rows?\b", "", s)) or _PERSON.search(s)):
+            found = True
+        elif len(_WORD.findall(s)) > 4 and not _COURTESY.search(s):
+            return False
+    return found
 
 
 def language_of(text: str) -> tuple[str | None, Counter]:
@@ -196,7 +224,7 @@ def judge(content: str | None, prompt: str | None, answer: str | None) -> tuple[
         return "empty", None, False
     if state == "whole":
         return None, None, False
-    if prompt and is_copy(content, prompt):
+    if prompt and is_copy(content, prompt, answer):
         return "copy", None, False
     if state == "broken":
         return "truncated", None, False
