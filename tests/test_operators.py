@@ -146,3 +146,16 @@ def test_judging(spark):
     case = lambda v, e, u="", **k: J.answer_class(v, k.get("d"), e, u, 1.0, k.get("f"))
     assert case("450 mV", "0.45 V") == "exact" and case("5", "6", "V") == "dangerous_miss" and case(None, "6", f="length") == "truncated" and case("x", "6") == "unparseable"
     assert case("212 F", "100 C") == "unit_mismatch" and case("5 to 8 V", "5 to 7 V") == "range_mismatch" and case("", "6") == "no_answer" and case("6", "6", d=True) == "honest_decline" and case("250 300", "250") == "ambiguous_parse"
+
+
+def test_stored_classes_are_compared_with_new_ones(spark, tmp_path):
+    rows = [(1, ("450 mV", False), "0.45 V", "V", 1.0, "dangerous_miss", [7]), (2, ("5", False), "5", "V", 1.0, "exact", [7]), (3, (None, False), "5", "V", 1.0, None, None), (4, ("1 234", False), "1234", "rpm", 1.0, "exact", [8])]
+    schema = "row_id bigint, answer struct<value string, must_retrieve boolean>, expected_value string, unit string, tolerance_pct double, answer_class string, retrieved_doc_ids array<bigint>"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/e2_answers.parquet")
+    spark.createDataFrame([(7, "reads 450 mV"), (8, "at 1234 rpm")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.row_id: r[1:] for r in core.QUERIES["evl04_reclassified"](spark, str(tmp_path)).collect()}
+    assert got[1] == ("dangerous_miss", "exact", "dangerous_miss", "cited", True)
+    assert got[2] == ("exact", "exact", "exact", "blocked", False)
+    assert got[3] == (None, "no_answer", "honest_decline", "declined", True)
+    assert got[4][2:4] == ("exact", "cited") and len(got) == 4
+    assert J.first_class("1,234 rpm", False, "1\u00a0234") == "exact" and J.first_class("n/a", False, "5") == "unparseable" and J.first_class("6", True, "5") == "honest_decline"

@@ -9,6 +9,7 @@ from tunemill.operators import calibration as C
 from tunemill.operators import images as I
 from tunemill.operators import judging as J
 from tunemill.operators import simulation as S
+from tunemill.plans import evaluation
 from tunemill.plans.registry import Registry
 from tunemill.session import table
 
@@ -163,6 +164,12 @@ def evl04_stored_classes(spark, d):
     return table(spark, d, "e2_answers").groupBy(F.col("answer_class").alias("stored")).agg(F.count("*").alias("n"))
 
 
+@query()
+def evl04_reclassified(spark, d):
+    """EVL-04, EVL-05: every stored class beside what today's classifier, the first one and the guard say of the row."""
+    return J.reclassified(table(spark, d, "e2_answers"), evaluation.scl07_evl07_guard(spark, d))
+
+
 @query()
 def win09_scl16_chunks(spark, d):
     return J.chunks(table(spark, d, "documents"), 4_000, 200)
