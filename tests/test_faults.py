@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tunemill.operators.faults import CHANNELS, FaultCfg, Faults
+from tunemill.operators.faults import CHANNELS, FaultCfg, Faults, spikes
 
 LIMITS = {"junction_c": (5.0, 120.0), "power_w": (1.0, 600.0), "fan1_rpm": (0.0, 6000.0)}
 SCHEMA = "sample_id bigint, rig string, gpu int, ts timestamp, junction_c double, power_w double, fan1_rpm double, bucket string, channel int"
@@ -99,3 +99,8 @@ def test_tail_cutoff_is_near_the_risk(spark, limits):
     got = {r.channel: r for r in Faults(spark.createDataFrame(rows, SCHEMA), limits).cutoffs().collect()}
     assert set(got) == {"junction_c", "power_w"}
     assert 0.8 < got["junction_c"].scatter < 1.1 and 3.3 < got["junction_c"].tail_cutoff < 6.5 and 2.4 < got["power_w"].scatter < 3.3
+
+
+def test_a_spike_may_change_sides():
+    y = np.array([50.0, 50.1] * 10 + [90.0, 10.0] + [50.0, 50.1] * 10)
+    assert np.flatnonzero(spikes(y, 5.0, 5.0)).tolist() == [20, 21]

@@ -177,7 +177,7 @@ def spikes(y: np.ndarray, cutoff: float, limit: float) -> np.ndarray:
         seg = y[i[:, None] + np.arange(size)]
         up = seg - np.maximum(a, b)[:, None]
         down = np.minimum(a, b)[:, None] - seg
-        off = np.maximum(up.min(axis=1), down.min(axis=1)) > limit
+        off = np.maximum(up, down).min(axis=1) > limit  # each reading on a side of its own
         calm = (np.abs(y[i - 1] - b) <= limit) & (np.abs(y[i + size] - a) <= limit)
         for s in i[off & calm]:
             hit[s : s + size] = True
