@@ -7,7 +7,7 @@ leaders. Of the rest, spam is a line
 * whose text is mostly links, or mostly tags;
 * that offers a product (a price or stock figure with a number of an article or another offer's words);
 * without function words that is a list by its separators or its length, if at least half of its words recur over and over
-  in such lines of the page (top words), or its word pairs do, or the line itself is repeated.
+  in such lines of the page (top words), or the line itself is repeated.
 
 A page is found when more than half of its characters are in such lines. Thresholds of function words are calibrated per
 language on all documents: a share of the median of all lines that end like a sentence. In scripts without blanks the share
