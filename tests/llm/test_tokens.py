@@ -92,7 +92,7 @@ def test_mix(spark):
     plan = mix.plan(tok, t)
     by = {(r.mix_id, r.source): r for r in plan.collect()}
     have = {s: sum(r.n_tokens for r in tok.collect() if r.source == s) for s in "abc"}
-    assert by[1, "a"].t == have["a"] and by[1, "a"].total == sum(have.values()) and by[1, "c"].short and not by[1, "a"].short and by[2, "gone"].short and not by[3, "b"].short
+    assert by[1, "a"].t == have["a"] and by[1, "a"].total == sum(have.values()) and by[1, "c"].due > by[1, "c"].most and by[2, "gone"].most == 0
     for start in (None, {"a": 1.6, "b": 0.4}):
         drawn = mix.positions(tok, plan, start, buckets=8).collect()
         assert drawn == sorted(drawn, key=lambda r: (r.mix_id, r.position)) and all(0 <= r.position <= 1 for r in drawn)
@@ -100,11 +100,17 @@ def test_mix(spark):
             own = [r for r in drawn if (r.mix_id, r.source) == (m, s)]
             sizes = [r.n_tokens for r in own]
             assert max([0, *(r.repeat_no for r in own)]) <= p.max_repeats and len({(r.doc_id, r.repeat_no) for r in own}) == len(own)
-            if p.short:
+            if p.due > p.most:
                 assert sum(sizes) == p.most
             else:
                 assert not own or p.due <= sum(sizes) < p.due + max(sizes)
-    shares = mix.shares(mix.positions(tok, plan), plan).collect()
+        short = mix.shortfall(mix.seats(tok, plan, start, buckets=8), plan, start).collect()
+        assert sorted((r.mix_id, r.source) for r in short) == sorted(k for k, p in by.items() if p.due > p.most) and {(1, "c"), (2, "gone")} <= {(r.mix_id, r.source) for r in short}
+        assert all(r.runs_dry < 1 and (r.last is None or r.last <= r.runs_dry) for r in short)
+    # A draw that loses copies is short: the rows come from the seats, not from the formula.
+    half = mix.seats(tok, plan).where("mix_id <> 1 or source <> 'b' or doc_id % 2 = 0")
+    assert (1, "b") in {(r.mix_id, r.source) for r in mix.shortfall(half, plan).collect()}
+    shares = mix.shares(mix.seats(tok, plan), plan).collect()
     assert abs(sum(r.share for r in shares if r.mix_id == 1) - 1) < 1e-4 and len(shares) == len(by)
     assert mix.plan(mix.mixed_tokens(d.where("false"), t), t).where("t > 0").count() == 0
     assert mix.plan(mix.mixed_tokens(d, t.where("false")), t.where("false")).count() == 0

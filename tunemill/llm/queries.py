@@ -66,17 +66,28 @@ def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tokens, mix.plan(tokens, targets)
 
 
+def _ramps(planned: DataFrame) -> dict[str, float]:
+    """Schedules for the curriculum: of the sources in the order of their names, every other one fades in, the rest fade out."""
+    named = [r.source for r in planned.select("source").distinct().orderBy("source").limit(mix.MOST_SCHEDULES).collect()]
+    return {s: 0.5 if i % 2 else 1.5 for i, s in enumerate(named)}
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d)[1].where("short").select("mix_id", "source")
+    """Sources whose copies, seated along a schedule that changes, end before what is due does."""
+    tokens, planned = _mix(spark, d)
+    start = _ramps(planned)
+    return mix.shortfall(mix.seats(tokens, planned, start), planned, start).select("mix_id", "source")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     tokens, planned = _mix(spark, d)
-    return mix.shares(mix.positions(tokens, planned), planned)
+    return mix.shares(mix.seats(tokens, planned), planned)
 
 
 def p9_order(spark: SparkSession, d: str) -> DataFrame:
-    return mix.positions(*_mix(spark, d))
+    """The training order of a curriculum whose sources fade in or out."""
+    tokens, planned = _mix(spark, d)
+    return mix.positions(tokens, planned, _ramps(planned))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
