@@ -41,6 +41,24 @@ def test_copies_by_position(want, content, prompt):
     assert pairs.is_copy(content, prompt) is want
 
 
+def test_the_compression_decides_copies(spark, monkeypatch):
+    rows = [(i, c, p, "maf_low") for i, (_, c, p) in enumerate(CASES)]
+    d = spark.createDataFrame(rows, "row_id bigint, content string, prompt string, answer string")
+    copies = {i for i, (k, _, _) in enumerate(CASES) if k == "copy"}
+    assert all(pairs.unexplained(CASES[i][1], CASES[i][2]) <= 0.1 for i in copies) and pairs.unexplained(GOOD, EN) > 0.6
+    assert pairs.unexplained("no", EN) == 0 and pairs.unexplained("", EN) == 0 and pairs.unexplained(GOOD, "") == 1
+    found = {r.row_id for r in pairs.defects(d).where("defect = 'copy'").collect()}
+    assert found == copies and 0 < pairs.copy_share(spark.createDataFrame([(0.0,), (0.02,), (0.9,), (1.0,), (None,)], "unexplained double")) <= pairs.COPIED
+    monkeypatch.setattr(pairs, "copy_share", lambda judged: -1.0)
+    assert pairs.defects(d).where("defect = 'copy'").count() == 0
+
+
+def test_contexts_are_counted_alike_beyond_the_limit(spark):
+    texts = [GOOD + " Confidence: 85%", GOOD + " Confidence: 90%", "The injector is too small for", "It is too small for", "We saw 12.", "AFR 14.7"] * 2
+    d = spark.createDataFrame([(i, t, EN, None) for i, t in enumerate(texts)], "row_id bigint, content string, prompt string, answer string")
+    assert sorted(pairs.defects(d).collect()) == sorted(pairs.defects(d, asked_at_once=0).collect())
+
+
 def test_an_option_that_is_the_answer_is_no_copy():
     assert not pairs.is_copy("The injector is too small.", "Pick one.\nThe injector is too small.\nThe pump is worn.", "The injector is too small.")
 

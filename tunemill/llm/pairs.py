@@ -3,8 +3,11 @@
 One defect per row, the first that holds:
 
 * `empty`: null, or without a letter or digit, or JSON (fenced or not) without any value.
-* `copy`: it is the prompt, or a stretch of whole lines or sentences of it with its question, found by position, apart
-  from case, white space, quotes and a prefix: a few words, courtesies, or a clause that a colon ends.
+* `copy`: its last part compresses to next to nothing with the prompt as the dictionary of zstandard. The measure is the
+  share of the part that the prompt leaves unexplained: 0 costs what the part costs with itself as dictionary, 1 what it
+  costs alone. The share under which a response copies is where the shares of all responses fall into two groups, at most
+  COPIED. A check by position follows: the response is the prompt, or a stretch of whole lines or sentences of it with its
+  question, apart from case, white space, quotes and a prefix: a few words, courtesies, or a clause that a colon ends.
 * `refusal`: some sentence declines by the dictionary of its language, and no other says anything but courtesies.
 * `truncated`: broken JSON or an open fence; or the text ends without an end of a sentence and a model of terminal
   contexts finds that what it ends with is not what ends a line. The model counts, over all responses, how often the last
@@ -24,10 +27,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tunemill.llm.histograms import valley
 from tunemill.session import settle, small
 
 #: Common function words by language.
@@ -74,7 +80,10 @@ _FENCE = re.compile(r"```[^\n`]*\n?(.*?)(?:```|\Z)", re.S)
 _TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[^\w\s]|_")
 _SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]*_]*$")
 _LABELLED = re.compile(r"^[\W_]*[^\W\d_][^:\n]{0,30}\s?:\s*\S[^\n]{0,20}$")
-_SETS = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+_LANGUAGES = {w: tuple(k for k, v in FUNCTION_WORDS.items() if w in v) for words in FUNCTION_WORDS.values() for w in words}
+_SCRIPTS = {"ja": "ぁ-ヿ", "zh": "一-鿿", "ko": "가-힣", "ru": "Ѐ-ӿ", "el": "Ͱ-Ͽ", "ar": "؀-ۿ"}
+_SCRIPTED = re.compile(f"[{''.join(_SCRIPTS.values())}]")
+_IN_SCRIPT = {k: re.compile(f"[{v}]") for k, v in _SCRIPTS.items()}
 _ASKED = {k: re.compile(rf"(?i)\b(?:in|auf|en|au|op|em)\s+(?:{v})\b") for k, v in LANGUAGE_NAMES.items()}
 
 
@@ -112,6 +121,26 @@ def _flat(text: str) -> str:
 
 
 _QUOTES = "\"'“”«»„`*_> "
+#: The greatest share that the prompt may leave unexplained of a copy, the bins of its counts, and the level of compression.
+COPIED, BINS, LEVEL = 0.5, 50, 3
+
+
+def _cost(part: bytes, dictionary: bytes) -> int:
+    known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
+    return len(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(part))
+
+
+def unexplained(content: str, prompt: str) -> float:
+    """The share of the last part of content that costs bytes although the prompt is known: 0 for a copy, about 1 without relation.
+
+    A part begins after the end of a sentence, a colon or a line feed. Parts too short for a match cost the same with any
+    dictionary; their share is 0, which leaves them to the check by position.
+    """
+    part = next((x for y in reversed(re.split(r"(?<=[.!?:。！？：])\s+|\n+", content)) if (x := _flat(y).strip(_QUOTES))), "").encode()
+    alone, least = _cost(part, b""), _cost(part, part)
+    if alone <= least:
+        return 0.0
+    return min(1.0, max(0.0, (_cost(part, _flat(prompt).encode()) - least) / (alone - least)))
 
 
 def is_copy(content: str, prompt: str, answer: str | None = None) -> bool:
@@ -177,12 +206,16 @@ def is_refusal(text: str) -> bool:
 def language_of(text: str) -> tuple[str | None, Counter]:
     """The language by function words or script, null if too little speaks for one; and the counts."""
     text = _FENCE.sub(" ", text)
-    words = [w.lower() for w in _WORD.findall(text)]
-    counts = Counter({k: sum(w in v for w in words) for k, v in _SETS.items()})
-    for name, low, high in (("ja", "ぁ", "ヿ"), ("zh", "一", "鿿"), ("ko", "가", "힣"), ("ru", "Ѐ", "ӿ"), ("el", "Ͱ", "Ͽ"), ("ar", "؀", "ۿ")):
-        n = sum(low <= ch <= high for ch in text)
-        if n >= 8 and n > 0.3 * sum(ch.isalpha() for ch in text):
-            return name, counts
+    counts = Counter(dict.fromkeys(FUNCTION_WORDS, 0))
+    for w in _WORD.findall(text.lower()):
+        for k in _LANGUAGES.get(w, ()):
+            counts[k] += 1
+    if not text.isascii() and _SCRIPTED.search(text):
+        letters = sum(map(str.isalpha, text))
+        for name, script in _IN_SCRIPT.items():
+            n = len(script.findall(text))
+            if n >= 8 and n > 0.3 * letters:
+                return name, counts
     (best, n), (_, second) = counts.most_common(2)
     return (best if n >= 2 and n >= 1.25 * second + 1 else None), counts
 
@@ -204,28 +237,40 @@ def context(line: str) -> str:
     return mark + " ".join("0" if t[0].isdigit() else t.lower() for t in _TOKEN.findall(line.rstrip("."))[-3:])
 
 
-def contexts(text: str, count: Counter) -> None:
-    """Add how often lines end, or go on, after each context; and sentences after each that ends in a number."""
+def contexts(text: str, count: Counter, asked: frozenset[str] | None = None) -> None:
+    """Add how often lines end, or go on, after each context (of asked, if given); and sentences after each that ends in a number."""
+    last = None if asked is None else frozenset(k.rsplit(" ", 1)[-1] for k in asked)
     for line in text.split("\n"):
         found = list(_TOKEN.finditer(line))
         tokens = ["0" if (t := m.group())[0].isdigit() else t.lower() for m in found]
-        for i, m in enumerate(found):
+        for i, t in enumerate(tokens):
+            if last is not None and t not in last:
+                continue
             key = " ".join(tokens[max(0, i - 2) : i + 1])
-            count[key, i == len(found) - 1] += 1
-            if tokens[i] == "0":
-                after = line[m.end() : m.end() + 2]
+            if asked is None or key in asked:
+                count[key, i == len(found) - 1] += 1
+            if t == "0" and (asked is None or ". " + key in asked):
+                after = line[found[i].end() : found[i].end() + 2]
                 count[". " + key, after == "." or (after[:1] == "." and after[1:].isspace())] += 1
 
 
-def judge(content: str | None, prompt: str | None, answer: str | None) -> tuple[str | None, str | None, bool]:
-    """The defect; else the terminal context still to be looked up, and the defect if the text is complete after all."""
+def judge(content: str | None, prompt: str | None, answer: str | None) -> tuple[str | None, str | None, bool, float | None, bool]:
+    """(defect, context, labelled, unexplained share, copied by position) of a response.
+
+    The defect is that of a response that is no copy. If a context is given, it is still to be looked up, and the defect is
+    that of a complete text; labelled says that the line's shape speaks for one.
+    """
     state = "empty" if content is None or not re.search(r"[^\W_]", re.sub(r"```\w*", "", content)) else json_state(content)
     if state == "empty":
-        return "empty", None, False
+        return "empty", None, False, None, False
     if state == "whole":
-        return None, None, False
-    if prompt and is_copy(content, prompt, answer):
-        return "copy", None, False
+        return None, None, False, None, False
+    share = unexplained(content, prompt) if prompt else None
+    positioned = share is not None and share <= COPIED and is_copy(content, prompt, answer)
+    return *_other(content, prompt, answer, state), share, positioned
+
+
+def _other(content: str, prompt: str | None, answer: str | None, state: str) -> tuple[str | None, str | None, bool]:
     if state == "broken":
         return "truncated", None, False
     if is_refusal(content):
@@ -246,32 +291,54 @@ def judge(content: str | None, prompt: str | None, answer: str | None) -> tuple[
     return ("language" if other else None), context(last), bool(_LABELLED.match(last))
 
 
+_JUDGED = [("row_id", pa.int64()), ("defect", pa.string()), ("context", pa.string()), ("labelled", pa.bool_()), ("unexplained", pa.float64()), ("positioned", pa.bool_())]
+
+
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(i, *judge(c, p, a)) for i, c, p, a in zip(*(batch.column(n).to_pylist() for n in ("row_id", "content", "prompt", "answer")))]
-        columns = list(zip(*rows)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.bool_()))], names=["row_id", "defect", "context", "labelled"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_JUDGED)], names=[n for n, _ in _JUDGED])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        count: Counter = Counter()
-        for c in batch.column("content").to_pylist():
-            if c and json_state(c) == "none":
-                contexts(_FENCE.sub("\n", c), count)
-        keys = list(count)
-        for at in range(0, len(keys), 50_000):
-            some = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.string()), pa.array([count[k] if k[1] else 0 for k in some], pa.int64()), pa.array([0 if k[1] else count[k] for k in some], pa.int64())], names=["context", "ends", "goes_on"])
-
-
-def defects(pairs: DataFrame, min_seen: int = 3) -> DataFrame:
-    """(row_id, defect) of the rows of pairs(row_id, prompt, content, answer) that have one."""
-    judged = settle(pairs.select("row_id", "content", "prompt", "answer").mapInArrow(_judged, "row_id bigint, defect string, context string, labelled boolean"))
-    asked = small(settle(judged.where(F.col("context").isNotNull()).select("context").distinct()))
-    seen = pairs.select("content").mapInArrow(_counted, "context string, ends bigint, goes_on bigint").join(asked, "context", "left_semi")
+def _counted(asked: frozenset[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            count: Counter = Counter()
+            for c in batch.column("content").to_pylist():
+                if c and json_state(c) == "none":
+                    contexts(_FENCE.sub("\n", c), count, asked)
+            keys = list(count)
+            for at in range(0, len(keys), 50_000):
+                some = keys[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.string()), pa.array([count[k] if k[1] else 0 for k in some], pa.int64()), pa.array([0 if k[1] else count[k] for k in some], pa.int64())], names=["context", "ends", "goes_on"])
+
+    return run
+
+
+def copy_share(judged: DataFrame) -> float:
+    """The greatest unexplained share of a copy, from the counts of all responses by share: at most 51 rows come here."""
+    rows = judged.where(F.col("unexplained").isNotNull()).groupBy(F.floor(F.col("unexplained") * BINS).cast("int").alias("bin")).count().collect()
+    n = np.zeros(BINS + 1)
+    for r in rows:
+        n[r["bin"]] = r["count"]
+    return min(COPIED, valley(n))
+
+
+def defects(pairs: DataFrame, min_seen: int = 3, asked_at_once: int = 20_000) -> DataFrame:
+    """(row_id, defect) of the rows of pairs(row_id, prompt, content, answer) that have one. Runs a job: the reading is settled.
+
+    Where at most asked_at_once different contexts are to be looked up, they go to the workers, which then count no others;
+    beyond, all are counted and joined. Both give the same counts.
+    """
+    judged = settle(pairs.select("row_id", "content", "prompt", "answer").mapInArrow(_judged, "row_id bigint, defect string, context string, labelled boolean, unexplained double, positioned boolean"))
+    asked = settle(judged.where(F.col("context").isNotNull()).select("context").distinct())
+    few = asked.limit(asked_at_once + 1).collect() if asked_at_once else []
+    known = frozenset(r.context for r in few) if 0 < len(few) <= asked_at_once else None
+    seen = pairs.select("content").mapInArrow(_counted(known), "context string, ends bigint, goes_on bigint").join(small(asked), "context", "left_semi")
     model = settle(seen.groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")))
     rows = judged.join(small(model), "context", "left").na.fill(0, ["ends", "goes_on"])
-    known = F.col("ends") + F.col("goes_on") >= min_seen
-    complete = F.when(known & (F.col("goes_on") > 0), F.col("ends") > 3 * F.col("goes_on")).otherwise(F.col("labelled") | (known & (F.col("ends") >= min_seen) & F.col("context").rlike(r"0$")))
-    return rows.withColumn("defect", F.when(F.col("context").isNotNull() & ~complete, "truncated").otherwise(F.col("defect"))).where(F.col("defect").isNotNull()).select("row_id", "defect")
+    enough = F.col("ends") + F.col("goes_on") >= min_seen
+    complete = F.when(enough & (F.col("goes_on") > 0), F.col("ends") > 3 * F.col("goes_on")).otherwise(F.col("labelled") | (enough & (F.col("ends") >= min_seen) & F.col("context").rlike(r"0$")))
+    copied = F.coalesce((F.col("unexplained") <= copy_share(judged)) & F.col("positioned"), F.lit(False))
+    other = F.when(F.col("context").isNotNull() & ~complete, "truncated").otherwise(F.col("defect"))
+    return rows.withColumn("defect", F.when(copied, "copy").otherwise(other)).where(F.col("defect").isNotNull()).select("row_id", "defect")
