@@ -151,7 +151,7 @@ def is_copy(content: str, prompt: str, answer: str | None = None) -> bool:
     with one of the last paragraph that isn't a bare short option or the row's answer.
     """
     core = _flat(content).strip(_QUOTES)
-    if not core or re.search(r"\w*[^\w\s]*$", core).group() not in _flat(prompt):
+    if not core or re.search(r"\w*[^\w\s]*$", core.rsplit(None, 1)[-1]).group() not in _flat(prompt):
         return False  # a copy ends in a word of the prompt
     text = prompt.replace("\r\n", "\n").rstrip()
     final = max((m.end() for m in re.finditer(r"\n\s*\n", text)), default=0)
@@ -184,9 +184,13 @@ def _lead_in(before: str, size: int) -> bool:
     return all(_COURTESY.search(x) for x in sentences(prefix))
 
 
-def sentences(text: str) -> list[str]:
-    parts = re.split(r"(?<=[.!?。！？])\s+|\n+", text)
-    return [s for p in parts if (s := re.sub(r"^[\W_]*(?:note|hinweis|nota|remarque)\W+", "", p.strip(), flags=re.I)) and re.search(r"[^\W\d_]", s)]
+_NOTE = re.compile(r"^[\W_]*(?:note|hinweis|nota|remarque)\W+", re.I)
+
+
+def sentences(text: str) -> Iterator[str]:
+    for p in re.split(r"(?<=[.!?。！？])\s+|\n+", text):
+        if re.search(r"[^\W\d_]", s := _NOTE.sub("", p.strip())):
+            yield s
 
 
 def is_refusal(text: str) -> bool:
@@ -230,27 +234,30 @@ def wrong_language(content: str, prompt: str) -> bool:
     return not (ours in _ASKED and _ASKED[ours].search(prompt))
 
 
+def _tokens(line: str) -> list[str]:
+    return ["0" if t[0].isdigit() else t for t in _TOKEN.findall(line.lower())]
+
+
 def context(line: str) -> str:
     """The last three tokens of a line, numbers as 0; after a final full stop (of a number) marked as such."""
     line = line.rstrip()
-    mark = ". " if line.endswith(".") else ""
-    return mark + " ".join("0" if t[0].isdigit() else t.lower() for t in _TOKEN.findall(line.rstrip("."))[-3:])
+    return (". " if line.endswith(".") else "") + " ".join(_tokens(line.rstrip("."))[-3:])
 
 
 def contexts(text: str, count: Counter, asked: frozenset[str] | None = None) -> None:
     """Add how often lines end, or go on, after each context (of asked, if given); and sentences after each that ends in a number."""
     last = None if asked is None else frozenset(k.rsplit(" ", 1)[-1] for k in asked)
+    marked = asked is None or any(k.startswith(". ") for k in asked)
     for line in text.split("\n"):
-        found = list(_TOKEN.finditer(line))
-        tokens = ["0" if (t := m.group())[0].isdigit() else t.lower() for m in found]
-        for i, t in enumerate(tokens):
-            if last is not None and t not in last:
-                continue
+        tokens = _tokens(line)
+        at = None
+        for i in range(len(tokens)) if last is None else [i for i, t in enumerate(tokens) if t in last]:
             key = " ".join(tokens[max(0, i - 2) : i + 1])
             if asked is None or key in asked:
-                count[key, i == len(found) - 1] += 1
-            if t == "0" and (asked is None or ". " + key in asked):
-                after = line[found[i].end() : found[i].end() + 2]
+                count[key, i == len(tokens) - 1] += 1
+            if marked and tokens[i] == "0" and (asked is None or ". " + key in asked):
+                at = at or [m.end() for m in _TOKEN.finditer(line.lower())]
+                after = line.lower()[at[i] : at[i] + 2]
                 count[". " + key, after == "." or (after[:1] == "." and after[1:].isspace())] += 1
 
 
