@@ -46,7 +46,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _HIRAGANA = re.compile(r"[぀-ゟ]")
 _DATA = re.compile(r"\b0x[0-9a-f]+|\b[0-9a-f]{16,}\b|\w\s*=\s*\w|\.{4,}\s*\d+\s*$|^\s*\w+:\s*\S+\s*$", re.I)
-_SENTENCE = re.compile(r"[.!?。！？]\s*$")
+_DIGITS = re.compile(r"\S*\d\S*")
+_ENDS = frozenset(".!?。！？")
 _SEPARATOR = re.compile(r"[,»|•·;、/]|\s[->–]\s|\s#")
 #: Measures of a line with a threshold each, in the order of the columns.
 MEASURES = ("function_words", "links", "tags", "separators", "top_words", "word_pairs")
@@ -57,8 +58,8 @@ _LOOSE = 0.34
 
 def words_of(line: str) -> tuple[list[str], float, int]:
     """Words of a line, its share of function words (or hiragana), and its number of words (or letters)."""
-    cjk = len(_CJK.findall(line))
-    if cjk * 2 > sum(map(str.isalpha, line)):
+    cjk = 0 if line.isascii() else len(_CJK.findall(line))
+    if cjk and cjk * 2 > sum(map(str.isalpha, line)):
         found = [w for w in re.split(r"[\s,、・/|»#。！？]+", line.lower()) if w and not any(map(str.isdigit, w))]
         return found, len(_HIRAGANA.findall(line)) / cjk, cjk
     found = _WORD.findall(line.lower())
@@ -86,16 +87,29 @@ def measures(text: str) -> tuple[list[tuple], list[tuple]]:
             body = _LINK.sub(" ", line)
             linked = min(1.0, (len(line) - len(body)) / size)
         words, function, n = words_of(body)
-        tokens = body.split()
-        tags = sum(t[0] == "#" and len(t) > 2 and t[1] != "#" for t in tokens) / len(tokens) if "#" in body else 0.0
-        if len(line) >= 40 and function > 0 and _SENTENCE.search(line):
+        tags = 0.0
+        if "#" in body:
+            tokens = body.split()
+            tags = sum(t[0] == "#" and len(t) > 2 and t[1] != "#" for t in tokens) / max(len(tokens), 1)
+        if len(line) >= 40 and function > 0 and line.rstrip()[-1] in _ENDS:
             sentences.append((function, linked, tags, len(_SEPARATOR.findall(body)) / max(n, 1)))
         if function <= _LOOSE or linked > 0.2 or tags > 0.2:
-            data = n < 2 or _DATA.search(body) is not None or sum(any(map(str.isdigit, t)) for t in tokens) >= 0.4 * len(tokens)
-            doubtful.append((words, function, linked, tags, len(_SEPARATOR.findall(body)) / max(len(words), 1), len(line) + 1, line.strip(), not data))
-    copies = Counter(d[6] for d in doubtful)
-    shares = iter(_recurring([d[0] for d in doubtful if d[7]]))
-    return sentences, [(d[5], copies[d[6]], d[7], *d[1:5], *(next(shares) if d[7] else (0.0, 0.0))) for d in doubtful]
+            doubtful.append((words, function, linked, tags, body, line))
+    copies = Counter(d[5].strip() for d in doubtful)
+    listed = [not _is_data(d[4], d[0]) for d in doubtful]
+    shares = iter(_recurring([d[0] for d, x in zip(doubtful, listed) if x]))
+    out = []
+    for (words, function, linked, tags, body, line), x in zip(doubtful, listed):
+        separators = len(_SEPARATOR.findall(body)) / max(len(words), 1)
+        out.append((len(line) + 1, copies[line.strip()], x, function, linked, tags, separators, *(next(shares) if x else (0.0, 0.0))))
+    return sentences, out
+
+
+def _is_data(body: str, words: list[str]) -> bool:
+    if len(words) < 2 or _DATA.search(body):
+        return True
+    tokens = body.split()
+    return len(_DIGITS.findall(body)) >= 0.4 * len(tokens)
 
 
 _PAGE = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("lines", pa.list_(pa.list_(pa.float64()))), ("measure", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]
