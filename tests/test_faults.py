@@ -101,6 +101,34 @@ def test_tail_cutoff_is_near_the_risk(spark, limits):
     assert 0.8 < got["junction_c"].scatter < 1.1 and 3.3 < got["junction_c"].tail_cutoff < 6.5 and 2.4 < got["power_w"].scatter < 3.3
 
 
+def daily():
+    """Three days with a swing of 30 over the day, scatter 1, and readings 14 off now and then."""
+    rng, rows = random.Random(9), []
+    for i in range(8000):
+        at = datetime(2025, 1, 6) + timedelta(seconds=30 * i)
+        x = 60 + 15 * math.sin(2 * math.pi * i / 2880) + rng.gauss(0, 1) + (14 if i % 977 == 500 else 0)
+        rows.append((i, "r", 0, at, x, None, None, "", 1))
+    return rows
+
+
+def test_the_cutoff_of_the_tail_decides(spark, limits):
+    d = spark.createDataFrame(daily(), SCHEMA)
+    at = lambda **cfg: sorted(r.sample_id for r in Faults(d, limits, FaultCfg(**cfg)).labels().collect())
+    usual = at()
+    assert usual == [i for i in range(8000) if i % 977 == 500] and at(risk=1e-3) == usual
+    assert at(risk=1e-300, shapes=(0.2, 0.2)) == []
+
+
+def test_scatter_and_cutoff_leave_the_season_out_and_do_not_depend_on_buckets(spark, limits):
+    d = spark.createDataFrame(daily(), SCHEMA)
+    one, many = (Faults(d, limits, FaultCfg(bucket_rows=n)).cutoffs().first() for n in (32_768, 25))
+    assert one.readings == many.readings == 8000
+    assert one.scatter == pytest.approx(many.scatter, rel=1e-9) and one.tail_cutoff == pytest.approx(many.tail_cutoff, rel=1e-9)
+    assert 0.8 < one.scatter < 1.1
+    season = Faults(d, limits).sources.first()["junction_c"]
+    assert max(season) - min(season) > 25
+
+
 def test_a_spike_may_change_sides():
     y = np.array([50.0, 50.1] * 10 + [90.0, 10.0] + [50.0, 50.1] * 10)
-    assert np.flatnonzero(spikes(y, 5.0, 5.0)).tolist() == [20, 21]
+    assert np.flatnonzero(spikes(y, 5.0, cutoff=5.0)).tolist() == [20, 21]
