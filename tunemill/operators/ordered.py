@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tunemill.session import settle, small
+
 B = "_tm_bucket"
 
 
@@ -18,6 +20,23 @@ def day(ts: Column) -> Column:
     return F.unix_date(F.to_date(ts))
 
 
+def paced(df: DataFrame, keys: list[str], ts: str, name: str, rows: int = 100_000) -> DataFrame:
+    """df with a bucket number of its time (a number or timestamp) by key, wide enough for about `rows` rows on average.
+
+    Only keys of more rows are split at all; there are at most (all rows / rows) of them, whose bounds are broadcast if that
+    is few. Rows without a time are in the first bucket of their key.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp")) if df.schema[ts].dataType.typeName().startswith("timestamp") else F.col(ts).cast("double")
+    known = [F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)]
+    hot = settle(df.select(*known, at.alias("_at")).groupBy(*[f"_p{i}" for i in range(len(keys))]).agg(F.count("*").alias("_pn"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")).where(F.col("_pn") > rows))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_p{i}"))
+    part = F.ceil(F.col("_pn") / rows)
+    no = F.least(part - 1, F.floor((at - F.col("_lo")) * part / F.greatest(F.lit(1.0), F.col("_hi") - F.col("_lo"))))
+    return df.join(small(hot), same, "left").withColumn(name, F.coalesce(no, F.lit(0)).cast("bigint")).drop("_pn", "_lo", "_hi", *[f"_p{i}" for i in range(len(keys))])
+
+
 def _inside(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys, B).orderBy(*order)
 

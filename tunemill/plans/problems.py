@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tunemill.operators import units
 from tunemill.operators.faults import Faults
@@ -20,7 +21,14 @@ def p5_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.agreeing(units.measurements(table(spark, d, "e2_answers"), table(spark, d, "unit_target")))
+    return units.agreeing(units.unit_marks(table(spark, d, "e2_answers"), table(spark, d, "unit_target")))
+
+
+def p7_marks(spark: SparkSession, d: str) -> DataFrame:
+    """What the search finds in bare numbers, beside what the answers state: rows by expected unit, stated unit and marks."""
+    marks = units.unit_marks(table(spark, d, "e2_answers"), table(spark, d, "unit_target"))
+    told = F.when(F.coalesce("stated", "expected_unit") == F.col("expected_unit"), F.when(F.size("marks") == 0, "same unit, no mark").otherwise("same unit, marked")).when(F.array_contains("marks", F.col("stated")), "other unit, marked so").when(F.size("marks") > 0, "other unit, marked otherwise").otherwise("other unit, no mark")
+    return marks.groupBy("expected_unit", told.alias("found"), F.col("agrees").alias("agrees")).agg(F.count("*").alias("rows"))
 
 
 def p7_values(spark: SparkSession, d: str) -> DataFrame:
@@ -36,4 +44,4 @@ def p7_shifts(spark: SparkSession, d: str) -> DataFrame:
     return units.unit_shifts(rows, ["probe_id"], "created_at", "figure", "quantity", unit="unit")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_cutoffs, p7_found, p7_values, p7_shifts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_cutoffs, p7_found, p7_marks, p7_values, p7_shifts)}
