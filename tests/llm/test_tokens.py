@@ -10,12 +10,26 @@ pytestmark = pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="n
 PARTS = ["a", "b", "s", "'s", "'", "'ll", " ", "  ", "\n", "\t", "1", "23", "。", "日本", "語", "é", "—", "!!", "..", "#", "the", "🚗", " ", "\r\n", "​"]
 
 
+#: A sentence of words in each script, and one of words that end in accented letters.
+SCRIPTS = {
+    "Cyrillic": "Датчик детонации исправен, но смесь бедная; проверьте давление топлива. ",
+    "Arabic": "مستشعر الطرق يعمل، لكن الخليط فقير؛ افحص ضغط الوقود. ",
+    "Thai": "เซ็นเซอร์น็อคทำงานปกติแต่ส่วนผสมบางเกินไปกรุณาตรวจสอบแรงดันน้ำมันเชื้อเพลิง",
+    "Hangul": "노크 센서는 정상이지만 혼합기가 희박합니다. 연료 압력을 확인하십시오. ",
+    "Devanagari": "नॉक सेंसर ठीक है, लेकिन मिश्रण पतला है; ईंधन दबाव जाँचें। ",
+    "Greek": "Ο αισθητήρας κρούσης λειτουργεί, αλλά το μείγμα είναι φτωχό. ",
+    "Hebrew": "חיישן הנקישות תקין, אבל התערובת דלה; בדוק את לחץ הדלק. ",
+    "accented": "café là-bas où é à ü ö é, naïveté ça déjà été allé. ",
+}
+
+
 def texts(seed=1, n=120):
     rng = random.Random(seed)
     out = ["".join(rng.choices(PARTS, k=rng.randint(1, 300))) for _ in range(n)]
     for _ in range(n // 6):
         out += ["".join(rng.choices("abcdest", k=rng.randint(200, 3000))), "".join(rng.choices("日本語車点火", k=rng.randint(200, 2000))), " " * rng.randint(100, 2000) + "x", rng.choice(["a", "12", "!"]) * rng.randint(200, 2000)]
-    return out + ["<|endoftext|>", "x" * 70_000, " " * 50_000, " \n" * 9_000 + "y", "word " * 20_000]
+    out += ["".join(rng.choices([*"".join(SCRIPTS.values()), " ", "'"], k=rng.randint(50, 900))) for _ in range(n // 6)]
+    return out + [v * 12 for v in SCRIPTS.values()] + ["<|endoftext|>", "x" * 70_000, " " * 50_000, " \n" * 9_000 + "y", "word " * 20_000]
 
 
 def plain(text):
@@ -50,6 +64,25 @@ def test_tree_is_exact():
             assert encode.tree(enc, nodes).tolist() == tokens.encode_text(enc, t)
 
 
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_every_script_is_cut_and_joined(script, monkeypatch):
+    enc, text = tokens.encoder(), SCRIPTS[script] * 600
+    ends = tokens.proven_cuts(text, 1024)
+    assert len(ends) > len(text) // 2048
+    assert [i for a, b in zip([0, *ends], ends) for i in tokens.encode_text(enc, text[a:b])] == tokens.encode_text(enc, text)
+    size, again = 4096, 0
+    leaves = [text[i : i + size] for i in range(0, len(text), size)]
+    out: list[int] = []
+    tail = ""
+    for k, leaf in enumerate(leaves):
+        ids = np.array(tokens.encode_text(enc, leaf), np.int32)
+        i, j, head, left = encode.edges(enc, leaf, ids, k == 0, k == len(leaves) - 1)
+        again += len(tail) + len(head or "")
+        out += (tokens.encode_text(enc, tail + head) if head else []) + ids[i:j].tolist()
+        tail = left or ""
+    assert out == tokens.encode_text(enc, text) and again < 0.1 * len(text)
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, s, "EN-gb", "d", e, "clash") for i, (t, s, e) in enumerate(rows)], "doc_id bigint, text string, source string, lang string, domain string, token_est int, ids string")
 

@@ -54,9 +54,12 @@ def encode_text(enc, text: str) -> list[int]:
 
 
 #: A place between two characters where the split pattern always ends a match and the next begins, whatever else the text
-#: holds: no match contains a non-space before a space character, nor a letter or digit before a mark that is no apostrophe,
-#: and the only lookahead of the pattern looks at what follows white space. So both sides encode independently.
-_PROVEN = re.compile(r"(?<=[0-9A-Za-zぁ-ヿ一-鿿.,;:!?)\]}>|\"'/。、])(?=[ \n\t\r])|(?<=[0-9A-Za-zぁ-ゟァ-ヺ一-鿿])(?=[.,;:!?(){}\[\]<>|\"/=+*#&%$@^~。、「」])")
+#: holds, in any script: no match contains a non-space before a space character, nor a letter or digit before what is
+#: neither (marks that combine among them) and no apostrophe, and the only lookahead of the pattern looks at what follows
+#: white space. So both sides encode independently. Blocks that Unicode versions since 15 have put letters into are left
+#: out, so that the pattern's engine and this one need not know the same version.
+_LATE = "\u1c80-\u1cff\ua700-\ua7ff\U00010000-\U0010ffff"
+_PROVEN = re.compile(rf"(?<=\S)(?=[ \n\t\r])|(?<=[^\W_{_LATE}])(?=[^\w\s'{_LATE}])")
 
 
 def proven_cuts(text: str, size: int) -> list[int]:
