@@ -1,5 +1,7 @@
 import random
+import re
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -29,9 +31,10 @@ def test_near_duplicates_match_brute_force(spark):
     have = {i: shingle(t) for i, t in rows if t}
     want = {frozenset((a, b)) for a in have for b in have if a < b and have[a] != have[b] and len(have[a] & have[b]) / len(have[a] | have[b]) >= 0.8}
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
-    member, reps = sets.classes(d, "doc_id", F.col("text"))
+    five = sets.shingles(F.col("text"))
+    member, reps = sets.classes(d, "doc_id", five)
     rep = {r.doc_id: r.rep for r in member.collect()}
-    got = {frozenset((r.a, r.b)) for r in sets.links(reps, 0.8).collect()}
+    got = {frozenset((r.a, r.b)) for r in sets.links(reps, Fraction(4, 5)).collect()}
     assert got == {frozenset(rep[x] for x in p) for p in want} and len(got) > 3
     parent = {i: i for i in have}
 
@@ -44,10 +47,41 @@ def test_near_duplicates_match_brute_force(spark):
         for b in have:
             if a != b and (have[a] == have[b] or frozenset((a, b)) in want):
                 parent[max(find(a), find(b))] = min(find(a), find(b))
-    out = {r.doc_id: r["class"] for r in sets.near_duplicates(d, "doc_id", F.col("text")).collect()}
+    out = {r.doc_id: r["class"] for r in sets.near_duplicates(d, "doc_id", five, Fraction(4, 5)).collect()}
     assert out == {i: find(i) for i in have}
 
 
+@pytest.mark.parametrize("group", [1_000, 3])
+def test_word_set_links_match_brute_force(spark, monkeypatch, group):
+    monkeypatch.setattr(sets, "GROUP", group)
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 6))) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(vocabulary[: rng.choice([12, 20, 60])], rng.randint(1, 12))).title()) for i in range(160)]
+    d = spark.createDataFrame(rows + [(500, None), (501, "a b 12")], "doc_id bigint, text string")
+    have: dict[frozenset, int] = {}
+    for i, t in rows:
+        if s := frozenset(re.findall("[a-z]{3,}", t.lower())):
+            have.setdefault(s, i)
+    for t, strict in ((Fraction(3, 5), True), (Fraction(3, 5), False), (Fraction(1, 2), True)):
+        want = {(i, j) for a, i in have.items() for b, j in have.items() if i < j and (Fraction(len(a & b), len(a | b)) > t or (not strict and Fraction(len(a & b), len(a | b)) == t))}
+        _, reps = sets.classes(d, "doc_id", sets.words(F.col("text")))
+        got = [(r.a, r.b) for r in sets.links(reps, t, strict).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+
+
+def test_exemplars_are_deepest_then_longest(spark):
+    member = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "doc_id bigint, class bigint")
+    rows = spark.createDataFrame([(1, 3, "aa"), (2, 3, "aaa"), (3, None, "aaaaaa"), (4, None, None), (5, None, None)], "doc_id bigint, score int, text string")
+    out = sets.exemplars(member, rows, "doc_id", F.col("score"), F.length("text")).collect()
+    assert sorted((r["class"], r.exemplar, r.members) for r in out) == [(1, 2, 3), (4, 4, 2)]
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    nodes, edges = spark.range(n).select(F.col("id").alias("rep")), spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["class"] for r in sets.components(nodes, edges).collect()} == {0}
+
+
 def test_classes_have_a_row_for_each_document(spark, tmp_path):
     rows = [(1, "one two three"), (2, "ONE two  three"), (3, None), (4, ""), (5, " .. !\n"), (6, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -1,86 +1,124 @@
-"""Near-duplicate texts by the Jaccard similarity of their sets of word shingles: exact links and classes.
+"""Near-duplicate texts by the Jaccard similarity of their sets of words or of word shingles: exact links, classes, exemplars.
 
-Equal sets are one class before anything is joined. Sets of similarity t or more share a shingle among the first
-|s| - ceil(t * |s|) + 1 of theirs in the order of rarity, so a join on those prefixes loses no link; the order is made
-from all texts, the rarest first, which keeps the groups of a prefix shingle small. Pairs come out between class
-representatives only, with the membership beside them.
+Equal sets are one class before anything is joined. Two sets over the threshold share a word among the rarest of theirs: of
+the longer one all that a partner could miss, of the shorter one fewer still, so a join of these prefixes loses no link.
+Before a pair leaves the join it passes three bounds that no link fails: of lengths, of what can still follow the shared
+word, and of the words that bitmaps of both sets show to be in one only. What is left is nearly only links; they are
+verified on the sets. Words that many sets have in their prefix are salted: one side spread, the other copied.
+
+Pairs come out between class representatives only, with the membership beside them.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunemill.session import settle
+from tunemill.session import settle, small
+
+#: Longs of a bitmap, and the sets of one prefix word that one task compares with one another.
+LONGS, GROUP = 8, 1_000
+
+
+def words(text: Column) -> Column:
+    """Distinct hashes of the runs of three or more letters a to z of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})")), lambda w: F.xxhash64(w)))
 
 
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct hashes of runs of n words in lower case; a shorter text is one run, a text without words has none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
 
     def runs(w: Column) -> Column:  # w is bound once; in the expression itself it would be extracted anew for each run
         each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
         return F.when(F.size(w) > 0, F.array_distinct(each))
 
-    return F.element_at(F.transform(F.array(words), runs), 1)
+    return F.element_at(F.transform(F.array(found), runs), 1)
 
 
-def classes(rows: DataFrame, key: str, text: Column, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Membership (key, rep) of every row with words, and one row (rep, set) for each different set."""
-    sets = rows.select(F.col(key).alias("_k"), F.array_sort(shingles(text, n)).alias("_s")).where(F.size("_s") > 0)
+def classes(rows: DataFrame, key: str, items: Column) -> tuple[DataFrame, DataFrame]:
+    """Membership (key, rep) of every row with items, and one row (rep, set) for each different set."""
+    sets = rows.select(F.col(key).alias("_k"), F.array_sort(items).alias("_s")).where(F.size("_s") > 0)
     hashed = sets.withColumn("_h", F.sha2(F.array_join(F.transform("_s", lambda x: x.cast("string")), " "), 256))
     reps = settle(hashed.groupBy("_h").agg(F.min("_k").alias("rep"), F.first("_s").alias("set")))
     return hashed.join(reps.select("_h", "rep"), "_h").select(F.col("_k").alias(key), "rep"), reps.select("rep", "set")
 
 
-def links(reps: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of representatives a < b with similarity of at least the threshold, each pair once."""
+def links(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFrame:
+    """(a, b, similarity) of representatives a < b with similarity of at least the threshold (more, if strict), each pair once."""
+    t, u = threshold.numerator, threshold.denominator
+
+    def least(x: Column, over: int) -> Column:
+        """The least integer of at least (more than) t * x / over."""
+        return F.floor(F.lit(t) * x / over).cast("int") + 1 if strict else F.ceil(F.lit(t) * x / over).cast("int")
+
     each = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("w"))
     rarity = each.groupBy("w").agg(F.count("*").alias("_df"))
-    ordered = each.join(rarity, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("_df", "w"))).alias("_o"))
-    need = F.ceil(F.col("n") * F.lit(threshold)).cast("int")
-    prefix = ordered.select("rep", "n", F.explode(F.slice("_o", F.lit(1), F.col("n") - need + 1)).alias("x")).select("rep", "n", F.col("x.w").alias("w"))
-    a, b = prefix.select(F.col("rep").alias("a"), F.col("n").alias("na"), "w"), prefix.select(F.col("rep").alias("b"), F.col("n").alias("nb"), "w")
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb"))
-    pairs = a.join(b, "w").where(close).select("a", "b").distinct()
+    slot, bit = F.pmod(F.shiftright("w", 6), F.lit(LONGS)), F.expr("shiftleft(1L, cast(pmod(w, 64) as int))")
+    maps = [F.bit_or(F.when(slot == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(LONGS)]
+    ordered = each.join(rarity, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("_df", "w"))).alias("_o"), *maps)
+    probe = F.col("n") - least(F.col("n"), u) + 1
+    index = F.col("n") - least(2 * F.col("n"), t + u) + 1
+    names = [f"m{k}" for k in range(LONGS)]
+    prefix = settle(ordered.select("rep", "n", *names, index.alias("_index"), F.posexplode(F.slice("_o", F.lit(1), probe))).select("rep", "n", *names, F.col("col.w").alias("w"), (F.col("pos") + 1).alias("p"), (F.col("pos") < F.col("_index")).alias("short")))
+    crowd = settle(prefix.groupBy("w").count().where(F.col("count") > GROUP).select("w", F.ceil(F.col("count") / GROUP).cast("int").alias("_salts")))
+    salted = prefix.join(small(crowd), "w", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    a = salted.where("short").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("_salts")).cast("int"))
+    b = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    a, b = a.select(*(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "w", "p", "salt", *names))), b.select(*(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "w", "p", "salt", *names)))
+    shorter = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") < F.col("b_rep")))
+    both = least(F.col("a_n") + F.col("b_n"), t + u)
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in names), F.lit(0))
+    close = shorter & (F.col("a_n") >= least(F.col("b_n"), u)) & (F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p")) + 1 >= both) & (F.col("a_n") + F.col("b_n") - apart >= 2 * both)
+    pairs = a.join(b, (F.col("a_w") == F.col("b_w")) & (F.col("a_salt") == F.col("b_salt")) & close).select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
     full = pairs.join(reps.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    s = both / (F.size("sa") + F.size("sb") - both)
-    return full.withColumn("similarity", s).where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    counted = full.select("a", "b", shared.alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
+    return counted.where(F.col("o") >= least(F.col("n"), t + u)).select("a", "b", (F.col("o") / (F.col("n") - F.col("o"))).alias("similarity"))
+
 
+def components(nodes: DataFrame, edges: DataFrame, node: str = "rep") -> DataFrame:
+    """(node, class): the least node of each connected component, by repeated minimum of neighbours with pointer jumping.
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "rep", rounds: int = 30) -> DataFrame:
-    """(node, class): the least node of each connected component, by repeated minimum of neighbours with pointer jumping."""
+    It goes on until nothing moves.
+    """
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = settle(nodes.select(F.col(node).alias("_n"), F.col(node).alias("_c")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label, both.b == label["_n"]).groupBy("a").agg(F.min("_c").alias("_m"))
         step = label.join(near, label["_n"] == near.a, "left").select("_n", F.least("_c", F.coalesce("_m", "_c")).alias("_c"), F.col("_c").alias("_old"))
         jump = step.select(F.col("_n").alias("_j"), F.col("_c").alias("_jc"))
         new = settle(step.join(jump, F.col("_c") == F.col("_j"), "left").select("_n", F.least("_c", F.coalesce("_jc", "_c")).alias("_c"), "_old"))
-        moved = new.where("_c <> _old").limit(1).count()
         label = new.select("_n", "_c")
-        if not moved:
-            break
-    return label.select(F.col("_n").alias(node), F.col("_c").alias("class"))
+        if not new.where("_c <> _old").limit(1).count():
+            return label.select(F.col("_n").alias(node), F.col("_c").alias("class"))
 
 
-def near_duplicates(rows: DataFrame, key: str, text: Column, threshold: float = 0.8, wordless: bool = False) -> DataFrame:
-    """(key, class, links): every row with words, its class and the number of links of its representative.
+def near_duplicates(rows: DataFrame, key: str, items: Column, threshold: Fraction, strict: bool = False, without: bool = False) -> DataFrame:
+    """(key, class, links): every row with items, its class and the number of links of its representative.
 
-    With `wordless` rows whose text is null or has no word come out too, each as a class of its own without links.
+    With `without` rows that have no items (their text null, or without a word) come out too, each as a class of its own
+    without links. Runs jobs: sets, links and each round of the classes are settled.
     """
-    member, reps = classes(rows, key, text)
-    found = settle(links(reps, threshold))
+    member, reps = classes(rows, key, items)
+    found = settle(links(reps, threshold, strict))
     degree = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    named = components(reps, found).join(degree, "rep", "left")
-    out = member.join(named, "rep").select(key, "class", F.coalesce("links", F.lit(0)).alias("links"))
-    if not wordless:
+    linked = components(degree.select("rep"), found).join(degree, "rep")
+    out = member.join(linked, "rep", "left").select(key, F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    if not without:
         return out
-    none = rows.where(F.coalesce(F.size(shingles(text)), F.lit(0)) <= 0).select(key, F.col(key).alias("class"), F.lit(0).cast("bigint").alias("links"))
+    none = rows.where(F.coalesce(F.size(items), F.lit(0)) <= 0).select(key, F.col(key).alias("class"), F.lit(0).cast("bigint").alias("links"))
     return out.unionByName(none)
 
 
+def exemplars(member: DataFrame, rows: DataFrame, key: str, depth: Column, length: Column) -> DataFrame:
+    """(class, exemplar, members): of each class the deepest row, of equals the longest, then the first; null is least."""
+    ranked = rows.select(key, F.struct(F.coalesce(depth.cast("bigint"), F.lit(-1).cast("bigint")).alias("d"), F.coalesce(length.cast("bigint"), F.lit(-1).cast("bigint")).alias("l"), (-F.col(key)).alias("k")).alias("_r"))
+    return member.join(ranked, key).groupBy("class").agg(F.max_by(key, "_r").alias("exemplar"), F.count("*").alias("members"))
+
+
 def first_seen(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Of rows with the same key the first by order."""
     from tunemill.operators.corpus import latest

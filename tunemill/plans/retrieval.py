@@ -3,6 +3,8 @@ divisible by 20."""
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,17 +121,45 @@ def scl17_parts(spark, d):
     return table(spark, d, "documents").where(F.col("source_id").isNotNull()).select("doc_id", p.alias("parent"), F.row_number().over(Window.partitionBy(p).orderBy("doc_id")).alias("part"))
 
 
-@query()
+_SETS = """sets as (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as s from documents where text is not null),
+  reps as (select min(doc_id) as rep, s, len(s) as n from sets where len(s) > 0 group by s), each as (select rep, n, unnest(s) as w from reps),
+  shared as (select a.rep as a, b.rep as b, a.n + b.n as n, count(*) as o from each a join each b on a.w = b.w and a.rep < b.rep group by all),
+  links as (select a, b, o / (n - o) as similarity from shared where 8 * o > 3 * n)"""
+_CLASSED = f"""with recursive {_SETS}, ways as (select a, b from links union all select b, a from links),
+  reach as (select rep, rep as c from reps union select b, c from reach join ways on a = rep), named as (select rep, min(c) as class from reach group by rep),
+  degree as (select a as rep, count(*) as links from ways group by a),
+  classed as (select doc_id, class, coalesce(links, 0) as links from sets join reps using (s) join named using (rep) left join degree using (rep)
+    union all select doc_id, doc_id, 0 from documents where doc_id not in (select doc_id from sets where len(s) > 0))"""
+ALIKE = Fraction(3, 5)
+
+
+@query(f"with {_SETS} select a, b, round(similarity, 6) as similarity from links")
 def set01_links(spark, d):
-    """Links of 0.8 or more between different sets of five-word shingles."""
-    _, reps = sets.classes(table(spark, d, "documents"), "doc_id", F.col("text"))
-    return sets.links(reps, 0.8).withColumn("similarity", F.round("similarity", 6))
+    """Links of over 0.6 between different word sets."""
+    _, reps = sets.classes(table(spark, d, "documents"), "doc_id", sets.words(F.col("text")))
+    return sets.links(reps, ALIKE, strict=True).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+def _classed(spark: SparkSession, d: str) -> DataFrame:
+    return sets.near_duplicates(table(spark, d, "documents"), "doc_id", sets.words(F.col("text")), ALIKE, strict=True, without=True)
+
+
+@query(f"{_CLASSED} select doc_id, class, links from classed")
 def set01_classes(spark, d):
     """One row for each document; those without a word are classes of their own."""
-    return sets.near_duplicates(table(spark, d, "documents"), "doc_id", F.col("text"), 0.8, wordless=True)
+    return _classed(spark, d)
+
+
+@query(f"{_CLASSED} select class, arg_max(doc_id, [coalesce(judge_score, -1), coalesce(length(text), -1), -doc_id]) as exemplar, count(*) as members from classed join documents using (doc_id) group by class")
+def set01_exemplars(spark, d):
+    """The document that stands for each class: by score, then length."""
+    return sets.exemplars(_classed(spark, d), table(spark, d, "documents"), "doc_id", F.col("judge_score"), F.length("text"))
+
+
+@query()
+def set01_shingles(spark, d):
+    """Classes of 0.8 or more over five-word shingles."""
+    return sets.near_duplicates(table(spark, d, "documents"), "doc_id", sets.shingles(F.col("text")), Fraction(4, 5), without=True)
 
 
 @query("select min(doc_id) as doc_id, url from documents where url is not null group by url")
