@@ -117,8 +117,25 @@ def test_windows_and_spans():
     for most in (60, 120, 400):
         w = R.window(text, ["knock", "sensor"], most)
         assert len(w) <= most and "knock" in w and (not any(c.isdigit() for c in w) or "1234567.89" in w)
-    assert R.window(" short ", [], 50) == "short" and R.densest_span("none", ["absent"], 10) == (0, 0)
-    assert R.densest_span("ab x ab abc cd", ["abc", "xyz"], 8)[0] == 8
+    assert R.window(" short ", [], 50) == "short" and R.window(None, ["x"], 50) == "" and len(R.window("x" * 900, ["x"], 50)) <= 50
+    units = R._units("ab x ab abc cd", 50)
+    assert R.evidence_span("ab x ab abc cd", ["abc", "xyz"], units, 8) == (3, 3) and R.evidence_span("none", ["absent"], R._units("none", 9), 10) is None
+
+
+def test_windows_cut_no_token_at_any_width():
+    rng = random.Random(4)
+    parts = ["the limiter is 30 000 rpm", "a swing of 11.8 % was seen", "filler about practice", "from 40-psi to 50-psi", "injector pressure, effective size", "x" * 30, "1 234 567", "end."]
+    text = " ".join(rng.choices(parts, k=120))
+    whole = [text[a:b] for a, b in R._units(text, 10_000)]
+    for most in range(80, 700):
+        w = R.window(text, ["injector", "pressure", "limiter"], most)
+        own = w.removeprefix("… ").removesuffix(" …")
+        cut = [own[a:b] for a, b in R._units(own, 10_000)]
+        assert len(w) <= most and own in text and "pressure" in w
+        assert any(whole[i : i + len(cut)] == cut for i in range(len(whole))), most
+    far = "decoy limiter " + "word " * 300 + "limiter injector pressure " + "word " * 300
+    assert "injector pressure" in R.window(far, ["injector", "pressure", "limiter"], 120)
+    assert R.window("head " + "word " * 300, ["zzzz"], 60).startswith("head ")
 
 
 def test_images(spark):
@@ -171,6 +188,14 @@ def test_judging(spark):
     text = "intro\n\n" + "\n\n".join("p%d " % i + "x" * 60 for i in range(10))
     parts = J.packed(text, 150, 10)
     assert len(parts) > 3 and all(len(p) <= 150 + 12 for p in parts) and J.packed("short", 150) == ["short"]
+    rng = random.Random(6)
+    for _ in range(60):
+        t = "".join(rng.choices(["word ", "\n\n", "\n", "\n--- post ---\n", "\n## head\n", "long" * 30, " \n \n"], k=80))
+        most = rng.choice([60, 150, 400])
+        assert all(len(x) <= most and x.strip() for x in J.segments(t, most))
+        assert sum(len(x) for x in J.segments(t, most)) <= len(t) and "".join("".join(J.segments(t, most)).split()).replace("-", "") in "".join(t.split()).replace("---post---", "").replace("-", "")
+        assert all(len(x) <= most + 12 for x in J.packed(t, most, 10))
+    assert J.packed("a" * 50 + "\n\n" + "b" * 50, 60, 0) == ["a" * 50, "b" * 50] and J.packed("a" * 50 + "\n\n" + "b" * 50, 60, 5)[1] == "aaaaa\n\n" + "b" * 50
     assert J.verdict('```json\n{"score": 4, "rationale": "ok"}\n```') == (4, "ok", None) and J.verdict('{"score": true, "rationale": "x"}')[0] == 1
     assert [J.verdict(x)[2] for x in (None, "{", "[]", '{"score": 9, "rationale": "x"}', '{"score": 3, "rationale": " "}', '{"score": 3, "rationale": "x", "pairs": [{}]}')] == ["empty", "no json", "no object", "score", "rationale", "pairs"]
     d = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id bigint, text string")

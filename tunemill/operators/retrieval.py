@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,8 +16,10 @@ from tunemill.session import settle, small
 
 #: Our own BM25 parameters, the fusion constant, candidates per ranking.
 K1, B, RRF_K, CANDIDATES = 1.2, 0.75, 60, 20
-#: Hits per term, minimal term length, and how far a number run may stretch a window.
-HITS, MIN_TERM, STRETCH = 200, 3, 40
+#: Fixed value: minimal length of a term that a window looks for.
+MIN_TERM = 3
+#: What a window never cuts: runs without blanks, digits that blanks group, and a number with its percent sign.
+_UNIT = re.compile(r"\S+(?:(?<=\d)\s+(?=\d)\S+|(?<=\d)\s+%\S*)*")
 
 
 def top_terms(rows: DataFrame, key: str, text: Column, most: int = 12) -> DataFrame:
@@ -121,56 +124,60 @@ def capped(ranking: DataFrame, parents: DataFrame, q: str, key: str, per_parent:
     return rows.where(F.col("_b") < k).select(q, key, "rank", "parent", F.col("_ok").alias("kept"), F.when(F.col("_ok"), F.col("_n")).alias("place"))
 
 
-def densest_span(text: str, words: list[str], width: int) -> tuple[int, int]:
-    """(start, stop) of the stretch up to `width` from first to last hit that has most different terms, then most hits.
+def _units(text: str, room: int) -> np.ndarray:
+    """(start, stop) of what stays whole; a unit longer than room is cut at every room characters, as nothing else is left."""
+    spans = []
+    for m in _UNIT.finditer(text):
+        spans += [(at, min(at + room, m.end())) for at in range(m.start(), m.end(), room)]
+    return np.array(spans, np.int64).reshape(-1, 2)
 
-    The earliest of equals; (0, 0) without a hit.
+
+def evidence_span(text: str, words: list[str], units: np.ndarray, room: int) -> tuple[int, int] | None:
+    """(first, last) unit of the stretch within room that has most different terms, then most hits; the earliest of equals.
+
+    Of every term the number of its hits up to each unit is known, so any stretch is counted by two look-ups. None without
+    a hit. A stretch begins and ends with a hit.
+    """
+    low = text.lower()
+    terms_ = list(dict.fromkeys(w.lower() for w in words if len(w) >= MIN_TERM))
+    if len(low) != len(text) or not len(units):
+        low = text
+    hits = np.zeros((len(terms_), len(units) + 1), np.int64)
+    for k, t in enumerate(terms_):
+        at = [m.start() for m in re.finditer(re.escape(t), low)]
+        np.add.at(hits[k], np.searchsorted(units[:, 0], at, side="right"), 1)
+    until = hits.cumsum(axis=1)
+    firsts = np.flatnonzero(hits[:, 1:].any(axis=0))
+    if not len(firsts):
+        return None
+    lasts = np.searchsorted(units[:, 1], units[firsts, 0] + room, side="right") - 1
+    lasts = firsts[np.searchsorted(firsts, lasts, side="right") - 1]  # back to the last unit with a hit
+    inside = until[:, lasts + 1] - until[:, firsts]
+    best = int(np.lexsort((firsts, -inside.sum(axis=0), -(inside > 0).sum(axis=0)))[0])
+    return int(firsts[best]), int(lasts[best])
+
+
+def window(text: str | None, words: list[str], most: int, lead: float = 0.25) -> str:
+    """At most `most` characters of text around its evidence, ellipses included, cut between units only.
+
+    What room the evidence leaves goes before it by the share `lead`, then after it, then before it again. Without a hit it
+    is the beginning. A text within `most` stays as it is; null and blank texts give an empty one.
     """
-    low, hits = text.lower(), []
-    for t in dict.fromkeys(w.lower() for w in words if len(w) >= MIN_TERM):
-        at, n = low.find(t), 0
-        while at >= 0 and n < HITS:
-            hits.append((at, t))
-            at, n = low.find(t, at + len(t)), n + 1
-    hits.sort()
-    best, span, j = (0, 0), (0, 0), 0
-    inside: dict[str, int] = {}
-    for i, (start, term) in enumerate(hits):
-        while j < len(hits) and hits[j][0] - start <= width:
-            inside[hits[j][1]] = inside.get(hits[j][1], 0) + 1
-            j += 1
-        if (len(inside), j - i) > best:
-            best, span = (len(inside), j - i), (start, hits[j - 1][0] + len(hits[j - 1][1]))
-        inside[term] -= 1
-        if not inside[term]:
-            del inside[term]
-    return span
-
-
-def window(text: str, words: list[str], most: int, lead: float = 0.25) -> str:
-    """At most `most` characters of text around its densest span; cut at blanks, never inside a number, with ellipses."""
-    text = text.strip()
+    text = (text or "").strip()
     if len(text) <= most:
         return text
-    room = most - 4
-    core = max(1, room - STRETCH)
-    lo, hi = densest_span(text, words, core)
-    start = lo - int(core * lead) if hi - lo <= core else lo + (hi - lo) // 2 - core // 2
-    start = max(0, min(start, len(text) - core))
-    while start > 0 and not text[start - 1].isspace() and start > lo - core:
-        start -= 1
-    joins = lambda i: 0 < i < len(text) and (text[i - 1].isdigit() or text[i - 1] in ".,") and (text[i].isdigit() or text[i] in ".,") and (text[i - 1].isdigit() or text[i].isdigit())
-    floor = max(0, start - STRETCH)
-    while joins(start) and start > floor:
-        start -= 1
-    while joins(start):
-        start += 1
-    stop = min(len(text), start + core)
-    limit = min(len(text), start + room)
-    while joins(stop) and stop < limit:
-        stop += 1
-    while joins(stop):
-        stop -= 1
+    room = max(1, most - 4)
+    units = _units(text, room)
+    first, last = evidence_span(text, words, units, room) or (0, 0)
+
+    def leftmost(reach: float) -> int:
+        return int(np.searchsorted(units[:, 0], units[last, 1] - reach, side="left"))
+
+    spare = room - (units[last, 1] - units[first, 0])
+    first = min(first, leftmost(room - spare * (1 - lead)))
+    last = int(np.searchsorted(units[:, 1], units[first, 0] + room, side="right")) - 1
+    first = min(first, leftmost(room))
+    start, stop = units[first, 0], units[last, 1]
     return ("… " if start else "") + text[start:stop] + (" …" if stop < len(text) else "")
 
 
