@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunemill.operators.calibration import pi_step
+
 #: The model's constants, the probe points (air, volts), search bounds and thresholds.
 AFR, DENSITY, IDLE_AIR, SLOPE, V_REF = 14.7, 0.74, 0.10, 0.12, 14.0
 K = DENSITY / 60_000
@@ -129,7 +131,12 @@ def rules(trim_idle: Column, trim_fast: Column, maf_dev: Column, trim_low_volts:
 
 def synthetic_log(spark: SparkSession, n: int, trim_pct: float, seed: int = 0) -> DataFrame:
     """(seq, rpm, maf_gs, tps, af_correction, af_learning, fuel_system_status) around an idle with Gaussian noise."""
-    at = lambda mean, sd, k: F.lit(mean) + sd * F.randn(seed + k)
+
+    def at(mean: float, sd: float, k: int) -> Column:
+        """Normal noise from hashes of row and seed, so that it doesn't depend on partitions."""
+        unit = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.lit(i), "id"), F.lit(1 << 52)) + 0.5) / (1 << 52) for i in (0, 1)]
+        return F.lit(mean) + sd * F.sqrt(-2 * F.log(unit[0])) * F.cos(2 * np.pi * unit[1])
+
     short = max(-20.0, min(20.0, trim_pct / 2))
     return spark.range(n).select(F.col("id").alias("seq"), at(850.0, 15.0, 1).alias("rpm"), at(2.5, 0.03, 2).alias("maf_gs"), F.lit(1.0).alias("tps"), at(short, 0.3, 3).alias("af_correction"), F.lit(trim_pct - short).alias("af_learning"), F.lit(8.0).alias("fuel_system_status"))
 
@@ -146,9 +153,7 @@ def convergence(starts: DataFrame, iterations: int = 8) -> DataFrame:
             flow, lat, maf, total = 500.0 * b["flow_ratio"].to_numpy(float), b["latency_ratio"].to_numpy(float), b["maf_ratio"].to_numpy(float), np.zeros(n)
             for i in range(iterations):
                 t = trim(flow, lat, maf, np.full(n, 500.0), np.ones(n), np.ones(n), 0.0, 1.0, 14.0)
-                raw = 0.7 * (0.5 * t + 0.05 * (total + t))
-                step = np.clip(raw, -0.03, 0.03)
-                total = np.where(step == raw, total + t, total)
+                step, total = pi_step(t, total)
                 yield pd.DataFrame({"seed": b["seed"].to_numpy(), "iteration": i, "trim_pct": 100 * t, "step": step})
                 maf = maf * (1 + step)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tunemill.plans import calibration, corpus, evaluation, problems, retrieval, telemetry
+from tunemill.plans import calibration, corpus, evaluation, problems, proposals, retrieval, telemetry
 from tunemill.plans.registry import Query
 
-PARTS = [corpus.query, telemetry.query, evaluation.query, retrieval.query, calibration.query]
+PARTS = [corpus.query, telemetry.query, evaluation.query, retrieval.query, calibration.query, proposals.query]
 QUERIES: dict[str, Query] = dict(problems.QUERIES)
 SQL: dict[str, str] = {}
 for part in PARTS:

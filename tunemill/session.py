@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField, StructType
 
-#: Rows a side may have, as counted, to be broadcast. Such sides hold a few short columns, so this is some MB.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes a side may have, as counted, to be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 32 << 20
 
 
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
@@ -49,21 +51,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage, in the folder that spark.checkpoint.dir names.
 
-    Only where that setting is empty, as in tests, a folder of our own is used.
+    Only where that setting is empty and the master is local, as in tests, a folder of our own is used: on a cluster every
+    machine would have another.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tunemill-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few enough; else as it is, for a shuffled join.
+def _bytes(field: StructField) -> Column:
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0)) + 8
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows and their bytes, both counted, are few enough; else as it is, for a shuffled join.
 
     Give a settled or scanned df: counting runs it.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    width = sum((_bytes(f) for f in df.schema), F.lit(0)).cast("bigint")
+    n, total = df.limit(rows + 1).select(width.alias("_w")).agg(F.count("*"), F.coalesce(F.sum("_w"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and total <= size else df
 
 
 def source_name(col: Column | str = "source") -> Column:

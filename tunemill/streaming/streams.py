@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tunemill.operators.calibration import pi_step
+
 
 def telemetry_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 8) -> DataFrame:
     """New Parquet files of a folder as a stream; naive times become timestamps."""
@@ -84,11 +86,8 @@ def integrator_state(rows: DataFrame, key: str, error: str, order: str, kp: floa
         for b in batches:
             out = []
             for e in b.sort_values(order)[error]:
-                raw = damping * (kp * e + ki * (total + e))
-                held = min(limit, max(-limit, raw))
-                if held == raw:
-                    total += e
-                out.append((k[0], float(e), held))
+                step, total = map(float, pi_step(float(e), total, kp, ki, damping, limit))
+                out.append((k[0], float(e), step))
             yield pd.DataFrame(out, columns=["key", "error", "step"])
         state.update((total,))
 
