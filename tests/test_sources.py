@@ -1,6 +1,8 @@
+import importlib.util
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tunemill.sources import files, logs, markup, sinks
@@ -60,7 +62,12 @@ def test_texts(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e/x.epub").write_bytes(data.getvalue())
     (tmp_path / "e/bad.epub").write_bytes(b"no zip")
-    assert [(r.source_id, r.title) for r in files.books(spark, str(tmp_path / "e")).collect()] == [("x.epub#c1", "A")]
+    got = files.books(spark, str(tmp_path / "e")).collect()
+    assert [(r.source_id, r.title) for r in got if r.error is None] == [("x.epub#c1", "A")] and [(r.source_id, r.text) for r in got if r.error] == [("bad.epub", None)]
+    (tmp_path / "e/some.pdf").write_bytes(b"%PDF")
+    if importlib.util.find_spec("pypdf") is None:
+        with pytest.raises(Exception, match="pypdf"):
+            files.books(spark, str(tmp_path / "e")).collect()
 
 
 PAGE = "<html><head><title> T </title><style>x{}</style></head><body><script>1</script><div class='post'><span class='username'>ann</span><time datetime='2024-01-01'></time><div class='content'>Hello   <b>you</b><br>more</div></div><div class='post'><div class='content'>Two</div></div><div class='post'></div><a href='viewtopic.php?t=7&amp;sid=0123456789abcdef0123456789abcdef'>Boost leak</a><a href='viewtopic.php?t=8'>FS: turbo</a></body></html>"
@@ -109,5 +116,26 @@ def test_sinks(spark, tmp_path):
         (tmp_path / "n").mkdir(exist_ok=True)
         (tmp_path / "n" / name).write_text('{"q": "%s"}\n\n' % name)
     assert sorted(r.q for r in files.newest_per_tag(spark, str(tmp_path / "n"), "q string", "r-(m\\d)-").collect()) == ["r-m1-b.json", "r-m2-a.json"]
+    for name in ("A-1", "A-2", "B-1"):
+        spark.createDataFrame([(name,), (name,)], "q string").repartition(2).write.json(str(tmp_path / "m" / f"file={name}"))
+    assert sorted(r.q for r in files.newest_per_tag(spark, str(tmp_path / "m"), "q string", r"=(\w)-").collect()) == ["A-2", "A-2", "B-1", "B-1"]
+    (tmp_path / "j.json").write_text('{"a": 1}\n\nbroken\n')
+    assert files.json_lines(spark, str(tmp_path / "j.json"), "a int").count() == 1
+    assert sorted(((r.a, r.bad) for r in files.json_lines(spark, str(tmp_path / "j.json"), "a int", "bad").collect()), key=str) == [(1, None), (None, "broken")]
     assert set(files.REGISTRY) >= {"rom_defs", "ini_defs"}
     assert [r[0] for r in spark.createDataFrame([(429,), (500,), (404,), (None,)], "s int").select(files.retryable(F.col("s"))).collect()] == [True, True, False, True]
+
+
+def test_keyed_store_and_reports(spark, tmp_path):
+    path, row = str(tmp_path / "store"), "k int, v string, at int"
+    sinks.put(spark.createDataFrame([(1, "a", 1), (2, "b", 1), (2, "c", 2)], row), path, ["k"], [F.desc("at")])
+    sinks.put(spark.createDataFrame([(2, "d", 0), (3, "e", 0)], row), path, ["k"], [F.desc("at")])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "d"), (3, "e")]
+    sinks.replace(spark.read.parquet(path).where("k > 1"), path)
+    assert spark.read.parquet(path).count() == 2 and not list(tmp_path.glob("store._*"))
+    note = str(tmp_path / "report.json")
+    asked = spark.createDataFrame([(1,), (2,)], "id int")
+    assert sinks.resumed(spark, note, "id int", ["id"], asked).count() == 2
+    for text in ('{"id": 1}\n', '{"id": 1}\n{"id": 2}\n'):
+        sinks.report(text, spark, note)
+    assert open(note).read().count("id") == 2 and sinks.resumed(spark, note, "id int", ["id"], asked).count() == 0

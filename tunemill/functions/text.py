@@ -36,6 +36,7 @@ def terms(text: Column) -> Column:
     return F.filter(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})")), lambda w: F.lower(w)), lambda w: ~w.isin(*STOP_WORDS))
 
 
+#: Fixed value: a number in evidence.
 _NUMBER = r"((?:(?<![\w.)])-)?(?<![A-Za-z0-9.])(?:\d+(?:\.\d+)?|\.\d+))"
 
 
@@ -77,3 +78,22 @@ def is_markup(data: Column) -> Column:
     """Do the first bytes of a file look like HTML?"""
     head = F.lower(F.decode(F.substring(data, 1, 64), "ISO-8859-1"))
     return F.ltrim(head).rlike(r"^(<!doctype html|<html|<head|<!--)")
+
+
+def tolerant_number(text: Column) -> Column:
+    """The first plain number in a text, as a double; null where there is none."""
+    return F.regexp_extract(text, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
+
+
+def quoted_in(quote: Column, source: Column) -> Column:
+    """Does the quote stand in the source, white space and soft hyphens aside? Nulls are empty, an empty quote stands everywhere."""
+    plain = lambda c: F.trim(collapsed(F.coalesce(c, F.lit(""))))
+    return F.contains(plain(source), plain(quote))
+
+
+def values_in(value: Column, source: Column) -> Column:
+    """Does every number of a value stand in the source, as written or without commas?"""
+    full = F.trim(collapsed(F.coalesce(source, F.lit(""))))
+    bare = F.replace(full, F.lit(","), F.lit(""))
+    found = F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(r"(-?\d[\d.,]*)"))
+    return F.forall(found, lambda v: F.contains(full, v) | F.contains(bare, F.replace(v, F.lit(","), F.lit(""))))

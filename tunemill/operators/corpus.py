@@ -127,8 +127,34 @@ def sweep_gone(stored: DataFrame, seen: DataFrame, now: Column, gone_after: int
 
 
 def stratified_split(rows: DataFrame, strata: list[str], key: str, fraction: float, seed: int = 0) -> DataFrame:
-    """rows with split `val` or `train`: of each stratum the fraction, to even, that is first in hash order. Nothing is lost."""
-    h = F.xxhash64(F.lit(seed), F.col(key))
-    place = F.row_number().over(Window.partitionBy(*strata).orderBy(h, key))
-    size = F.count("*").over(Window.partitionBy(*strata))
-    return rows.withColumn("split", F.when(place <= F.bround(size * fraction), "val").otherwise("train"))
+    """rows with split `val` or `train`: of each stratum the fraction, to even, that is first in hash order. Nothing is lost.
+
+    Places are counted within ranges of the hash and added up, so that no task holds a stratum.
+    """
+    from tunemill.operators import ordered as O
+
+    hashed = rows.withColumn("_tm_h", F.xxhash64(F.lit(seed), F.col(key)))
+    placed = O.running_total(hashed, strata, ["_tm_h", key], F.shiftright("_tm_h", 52), F.lit(1), "_tm_place")
+    sizes = rows.groupBy(*[F.col(c).alias(f"_tm_s{i}") for i, c in enumerate(strata)]).agg(F.count("*").alias("_tm_n"))
+    same = F.lit(True)
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_tm_s{i}"))
+    out = placed.join(sizes, same).withColumn("split", F.when(F.col("_tm_place") <= F.bround(F.col("_tm_n") * fraction), "val").otherwise("train"))
+    return out.drop("_tm_h", "_tm_place", "_tm_n", *[f"_tm_s{i}" for i in range(len(strata))])
+
+
+def labelled(stored: DataFrame, incoming: DataFrame, order: list[Column]) -> DataFrame:
+    """Labels after incoming ones: one of each (doc_id, label_set, rater), the incoming one if there is any."""
+    both = stored.withColumn("_tm_in", F.lit(0)).unionByName(incoming.withColumn("_tm_in", F.lit(1)))
+    return latest(both, ["doc_id", "label_set", "rater"], [F.desc("_tm_in"), *order]).drop("_tm_in")
+
+
+def labels_of(labels: DataFrame, label_set: str, rater: str | None = None) -> DataFrame:
+    """The labels of a set, of one rater if named, by document."""
+    own = labels.where(F.col("label_set") == label_set)
+    return (own if rater is None else own.where(F.col("rater") == rater)).orderBy("doc_id", "rater")
+
+
+def sampled(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n different rows drawn by hash order under a seed, sorted by key: the same rows however the table is split."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n).orderBy(key)

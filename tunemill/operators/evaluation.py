@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tunemill.functions.text import healed, numbers
+from tunemill.session import settle
 
 KEEP = 4
 #: Classes in which an answer committed to a value.
@@ -14,10 +15,17 @@ ANSWERED = ("exact", "dangerous_miss", "unit_mismatch", "range_mismatch", "ambig
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """rows with the mean rank of equal values, from counts of distinct values: no sort of the rows."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select(value, (below + (F.col("_n") + 1) / 2).alias(name)), value)
+    """rows with the mean rank of equal values, from counts of distinct values: no sort of the rows.
+
+    The distinct values are sorted by range; each range counts on its own, from the sums of the ranges before it.
+    """
+    counts = settle(rows.groupBy(value).agg(F.count("*").alias("_n")).repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    sums = counts.groupBy("_part").agg(F.sum("_n").alias("_sum"))
+    earlier = F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sums.select("_part", earlier.alias("_earlier"))  # a row for each range
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.withColumn("_inside", inside).join(F.broadcast(before), "_part").select(value, (F.col("_earlier") + F.col("_inside") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranks, value)
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -97,21 +105,65 @@ def determinism(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.count_if(same).alias("same"))
 
 
+def evidence_numbers(text: Column) -> Column:
+    """The numbers of a text as it is and with torn digits joined; null for a null or blank text."""
+    both = F.concat(numbers(text), F.when(healed(text) != text, numbers(healed(text))).otherwise(F.array().cast("array<double>")))
+    return F.when(F.trim(text) != "", F.array_distinct(both))
+
+
 def guard(value: Column, evidence: Column, tolerance: float = 0.01) -> Column:
     """Verdict of a stated value against arrays of texts: declined, no_numbers, no_evidence, cited or blocked.
 
     Value and evidence are read as they are and with torn digits joined; the reading with the fewest unmatched counts.
     """
-    blank = F.coalesce(value, F.lit("")) == ""
     texts = F.filter(F.coalesce(evidence, F.array().cast("array<string>")), lambda t: F.trim(F.coalesce(t, F.lit(""))) != "")
-    pool = F.flatten(F.transform(texts, lambda t: F.concat(numbers(t), F.when(healed(t) != t, numbers(healed(t))).otherwise(F.array().cast("array<double>")))))
+    return guarded(value, F.flatten(F.transform(texts, evidence_numbers)), F.size(texts) > 0, tolerance)
+
+
+def guarded(value: Column, pool: Column, supported: Column, tolerance: float = 0.01) -> Column:
+    """The same from the numbers of the evidence, read once for each document; supported: is there any evidence?"""
+    blank = F.coalesce(value, F.lit("")) == ""
 
     def unmatched(reading: Column) -> Column:
         return F.size(F.filter(reading, lambda x: ~F.exists(pool, lambda p: F.abs(x - p) <= F.greatest(F.abs(x) * tolerance, F.lit(1e-9)))))
 
     raw, joined = numbers(value), numbers(healed(value))
     fewest = F.least(unmatched(raw), unmatched(joined))
-    return F.when(blank, "declined").when(F.size(raw) == 0, "no_numbers").when(F.size(texts) == 0, "no_evidence").when(fewest > 0, "blocked").otherwise("cited")
+    return F.when(blank, "declined").when(F.size(raw) == 0, "no_numbers").when(~F.coalesce(supported, F.lit(False)), "no_evidence").when(fewest > 0, "blocked").otherwise("cited")
+
+
+def guard_counts(rows: DataFrame, verdict: str, harmful: Column, right: Column) -> DataFrame:
+    """One row (harmful, caught, right, false_blocks): what the guard blocked of harmful and of right answers."""
+    blocked = F.col(verdict) == "blocked"
+    return rows.agg(F.count_if(harmful).alias("harmful"), F.count_if(harmful & blocked).alias("caught"), F.count_if(right).alias("right"), F.count_if(right & blocked).alias("false_blocks"))
+
+
+#: Relevances that a mix of pairs takes, ranks of depth, and topics that it lacks.
+MIXED = ("subaru", "modern_general")
+DEPTHS = {"deep": 2, "adequate": 1, "shallow": 0}
+LACKING = ("maf", "idle", "ve_load", "injectors")
+
+
+def pair_mix(pairs: DataFrame, verdicts: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
+    """Pairs that are not flagged, of a relevance that counts, and not shallow; with the verdicts' columns."""
+    fit = verdicts.where(F.col("relevance").isin(*MIXED) & (F.col("depth") != "shallow"))
+    return pairs.join(flagged.select(key).distinct(), key, "left_anti").join(fit, key)
+
+
+def filled(mixed: DataFrame, room: int, sequence: str) -> DataFrame:
+    """The first `room` of a mix: own platform, lacking topics, depth and length of the diagnosis first; equals in sequence."""
+    depth = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in DEPTHS.items() for x in kv]), F.col("depth")), F.lit(-1))
+    best = [F.desc(F.col("relevance") == "subaru"), F.desc_nulls_last(F.col("topic").isin(*LACKING)), F.desc(depth), F.desc_nulls_last(F.length("diagnosis")), F.asc(sequence)]
+    return mixed.orderBy(*best).limit(room)
+
+
+def numbered(rows: DataFrame, prefix: str, key: str, content: Column, schema: str, name: str) -> DataFrame:
+    """An item for each entry of the array that content (JSON of a model) holds, with the id prefix-key-place, places from 0.
+
+    Content that is null or no such JSON has no items.
+    """
+    items = F.from_json(content, schema)
+    return rows.select(key, F.posexplode(items).alias("_k", "item")).select(F.concat_ws("-", F.lit(prefix), F.col(key).cast("string"), F.col("_k").cast("string")).alias(name), key, "item.*")
 
 
 def diversity(rows: DataFrame, ids: str) -> DataFrame:

@@ -158,3 +158,27 @@ def pooled(logs: list[DataFrame]) -> DataFrame:
     for log in logs[1:]:
         out = out.unionByName(log, allowMissingColumns=True)
     return out
+
+
+#: Fixed value: how far a hold's voltage may be from the warm hold's to count as charging.
+CHARGING = 0.6
+
+
+def observations(holds: DataFrame, keys: list[str], order: str, baseline: tuple[list[float], list[float]], maf_term: bool = True) -> DataFrame:
+    """holds(keys..., order, maf, rpm, volts, trim in percent: means of a hold) with air_scale, nominal and trim_fraction.
+
+    The first hold of each key is the warm one: air scales are relative to its airflow, and only holds that charge as it does
+    have a nominal airflow, the baseline's at their speed. Keys without a usable airflow in the warm hold give no rows.
+    """
+    warm = holds.groupBy(*keys).agg(F.min_by(F.struct("maf", "volts"), order).alias("_warm"))
+    rows = holds.join(warm, keys).where(F.col("_warm.maf") > 0)
+    charging = F.abs(F.col("volts") - F.col("_warm.volts")) <= CHARGING
+    nominal = F.when(charging, interp(F.col("rpm"), *baseline)) if maf_term else F.lit(None).cast("double")
+    return rows.withColumn("air_scale", F.col("maf") / F.col("_warm.maf")).withColumn("nominal", nominal).withColumn("trim_fraction", F.col("trim") / 100).drop("_warm")
+
+
+def airflow_ratio(observed: DataFrame, keys: list[str], validated: str) -> DataFrame:
+    """(keys..., ratio, validated): the mean of read over nominal airflow of the holds that have one, null without any, and
+    whether all of them say that the baseline is validated (true without any)."""
+    has = F.col("maf").isNotNull() & ~F.isnan("maf") & (F.col("nominal") != 0)
+    return observed.groupBy(*keys).agg(F.avg(F.when(has, F.col("maf") / F.col("nominal"))).alias("ratio"), F.coalesce(F.bool_and(F.when(has, F.col(validated))), F.lit(True)).alias("validated"))

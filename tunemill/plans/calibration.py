@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunemill.operators import calibration as C
+from tunemill.operators import definitions as D
 from tunemill.operators import images as I
 from tunemill.operators import judging as J
 from tunemill.operators import simulation as S
@@ -74,17 +75,18 @@ def join16_voted(spark, d):
 
 
 _MERGE = """with recursive chain as (select s_suppkey as leaf, s_suppkey as node, 0 as depth from supplier where s_suppkey > 0
-union all select leaf, node // 2, depth + 1 from chain where node > 1) select leaf::bigint as leaf, max(depth)::int as depth, min_by(s_nationkey, depth)::int as nation from chain join supplier on s_suppkey = node and s_suppkey % 3 <> 0 group by 1"""
+union all select leaf, node // 2, depth + 1 from chain where node > 1)
+select 'def' || leaf as leaf, 't' || (s_suppkey % 4) as name, min_by(s_nationkey, row(depth, s_suppkey)) filter (s_suppkey % 3 <> 0)::int as nation, round(min_by(s_acctbal, row(depth, s_suppkey)) filter (s_suppkey % 5 <> 0), 2) as balance from chain join supplier on s_suppkey = node group by all"""
 
 
 @query(_MERGE)
 def join17_chain_merge(spark, d):
-    """A definition takes each attribute from itself or else the nearest parent that has it: parents are halves of ids."""
-    table(spark, d, "supplier").createOrReplaceTempView("_tm_supplier")
-    chain = spark.sql("""with recursive chain as (select cast(s_suppkey as bigint) as leaf, cast(s_suppkey as bigint) as node, 0 as depth from _tm_supplier where s_suppkey > 0
-      union all select leaf, node div 2, depth + 1 from chain where node > 1) select * from chain""")
-    has = table(spark, d, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").cast("bigint").alias("node"), "s_nationkey")
-    return chain.join(has, "node").groupBy("leaf").agg(F.max("depth").alias("depth"), F.min_by("s_nationkey", "depth").cast("int").alias("nation"))
+    """JOIN-17: tables of definitions with include lists; each attribute is the nearest that a definition on the way gives."""
+    key = F.col("s_suppkey").cast("bigint")
+    parent = F.floor(key / 2)
+    name = lambda k: F.concat(F.lit("def"), k.cast("string"))
+    defs = table(spark, d, "supplier").where("s_suppkey > 0").select(name(key).alias("xmlid"), F.when(key > 1, F.array(name(parent))).otherwise(F.array().cast("array<string>")).alias("include"), F.concat(F.lit("t"), (key % 4).cast("string")).alias("name"), F.when(key % 3 != 0, F.col("s_nationkey")).cast("int").alias("nation"), F.when(key % 5 != 0, F.col("s_acctbal").cast("double")).alias("balance"))
+    return D.merged(defs, "xmlid", "include", "name", ["nation", "balance"]).withColumn("balance", F.round("balance", 2))
 
 
 @query("with r as (select l_partkey as part, (l_quantity::int % 4)::int as v, l_suppkey as src from lineitem), g as (select part, v, count(*) as n from r group by 1, 2), x as (select part, count(*) as k, count_if(v = 3) as p, max(v) as v from g group by 1) select part, case when k = 1 or p = 1 then v end as v, case when k = 1 then 'agree' when p = 1 then 'one plausible' else 'ambiguous' end as verdict from x")
@@ -185,8 +187,8 @@ def evl01_judged(spark, d):
 
 
 @query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
-def str_hourly(spark, d):
-    """Tumbling windows over events; the streaming form is windowed() with the same aggregates. An addition."""
+def agg_hourly(spark, d):
+    """Tumbling windows over events, in batch; streams have windowed() with the same aggregates. An addition."""
     e = table(spark, d, "events")
     start = F.timestamp_micros((F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) * 3_600_000_000).cast("bigint")).cast("timestamp_ntz")
     return e.groupBy(start.alias("start"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))

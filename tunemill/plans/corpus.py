@@ -8,8 +8,10 @@ from pyspark.sql.window import Window
 
 from tunemill.functions import text as T
 from tunemill.operators import corpus as C
+from tunemill.operators import definitions as D
 from tunemill.plans.registry import Registry
-from tunemill.session import source_name, table
+from tunemill.session import scratch, source_name, table
+from tunemill.sources import sinks
 
 query = Registry()
 SRC = "lower(regexp_replace(source, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g'))"
@@ -212,13 +214,44 @@ def dml06_latest_value(spark, d):
     return best.select(F.col("judge_model").alias("key"), F.col("x.rubric_version").alias("value"))
 
 
-@query(f"select a.{SRC.replace('source', 'source', 1)} as source, a.docs, b.docs as judged, a.docs <> b.docs as stale from (select {SRC} as source, count(*) as docs from documents group by 1) a left join (select {SRC} as source, count(judge_score) as docs from documents group by 1) b on a.source = b.source".replace(f"a.{SRC}", "a.source"))
+@query("with s as (select count(*) as n from embeddings where vec_id is not null) select 'same' as against, n as stamped, true as fresh from s union all select 'fewer', n, n = (select count(*) from embeddings where vec_id % 2 = 0) from s")
 def dml12_freshness(spark, d):
-    """A stamp of each source's row count against the count now: stale where they differ."""
-    docs = table(spark, d, "documents").withColumn("source", source_name("source"))
-    now = docs.groupBy("source").agg(F.count("*").alias("docs"))
-    stamp = docs.groupBy("source").agg(F.count("judge_score").alias("judged"))
-    return now.join(stamp, "source", "left").select("source", "docs", "judged", (F.col("docs") != F.col("judged")).alias("stale"))
+    """DML-12: an index written with its stamp, against the table it was made from and against one that has lost rows."""
+    path, rows = scratch(spark, "index"), table(spark, d, "embeddings")
+    sinks.vector_index(rows, "vec_id", "embedding", path)
+    parts = []
+    for name, now in (("same", rows), ("fewer", rows.where("vec_id % 2 = 0"))):
+        index, fresh = sinks.load_index(spark, path, now)
+        parts.append(index.agg(F.count("*").alias("stamped")).select(F.lit(name).alias("against"), "stamped", F.lit(fresh).alias("fresh")))
+    return parts[0].unionByName(parts[1])
+
+
+_LABELS = "labels as (select distinct doc_id, rubric_version as label_set, judge_model as rater, score, created_at, stored_at from judgment where doc_id is not null)"
+
+
+@query(f"with {_LABELS}, marked as (select *, (stored_at >= timestamp '2025-06-01')::int as late from labels), r as (select *, row_number() over (partition by doc_id, label_set, rater order by late desc, stored_at desc nulls last, created_at desc nulls last, score desc nulls last) as k from (select doc_id, label_set, rater, score, created_at, stored_at, coalesce(late, 0) as late from marked)) select doc_id, label_set, rater, score from r where k = 1")
+def dml05_labels(spark, d):
+    """DML-05: labels that came later replace those of the same document, set and rater."""
+    rows = table(spark, d, "judgment").where("doc_id is not null").select("doc_id", F.col("rubric_version").alias("label_set"), F.col("judge_model").alias("rater"), "score", "created_at", "stored_at").distinct()
+    late = F.coalesce(F.col("stored_at") >= F.lit("2025-06-01").cast("timestamp_ntz"), F.lit(False))
+    out = C.labelled(rows.where(~late), rows.where(late), [F.desc_nulls_last("stored_at"), F.desc_nulls_last("created_at"), F.desc_nulls_last("score")])
+    return out.select("doc_id", "label_set", "rater", "score")
+
+
+@query()
+def top08_sample(spark, d):
+    """TOP-08: fifty steady readings drawn by hash, in the order of their ids."""
+    return C.sampled(table(spark, d, "memtest_soak").where("util_pct >= 90").select("sample_id", "junction_c").distinct(), "sample_id", 50)
+
+
+_PLATFORM = {"theory": "Theory", "forum_thread": "Forum Thread", "ecu_definition": "Definition"}
+
+
+@query("select doc_id, case kind when 'theory' then 'Theory' when 'forum_thread' then 'Forum Thread' when 'ecu_definition' then 'Definition' end as named, case when kind in ('theory', 'ecu_definition', 'forum_thread') then kind end as meaning from documents")
+def scl45_names(spark, d):
+    """SCL-45: a platform's names and back, with a variant."""
+    named = D.platform_name(F.col("kind"), _PLATFORM)
+    return table(spark, d, "documents").select("doc_id", named.alias("named"), D.semantic_id(F.when(F.col("kind") == "theory", "THEORY").otherwise(named), _PLATFORM, {"theory": ["THEORY"]}).alias("meaning"))
 
 
 @query("select tier, kind, count(*) as docs, round_even(count(*) * 0.1, 0)::bigint as val from documents group by 1, 2")
@@ -251,7 +284,7 @@ def scl36_tolerant_json(spark, d):
     return rows.select("doc_id", F.try_parse_json("meta_json").isNotNull().alias("good"))
 
 
-@query()
+@query("select substring(content_hash, 1, 5) as family, count(*) as docs from documents group by 1")
 def set06_families(spark, d):
     """Hash prefixes by family: SET-06 grouping on the first five characters."""
     return table(spark, d, "documents").groupBy(F.substring("content_hash", 1, 5).alias("family")).agg(F.count("*").alias("docs"))

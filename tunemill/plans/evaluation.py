@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunemill.functions import text as T
 from tunemill.functions.text import healed, numbers
 from tunemill.operators import corpus as C
 from tunemill.operators import evaluation as E
 from tunemill.plans.corpus import _LATEST
 from tunemill.plans.registry import Registry
-from tunemill.session import table
+from tunemill.session import scratch, table
+from tunemill.sources import files
 
 query = Registry()
 
@@ -80,9 +82,10 @@ def agg24_directional_flips(spark, d):
 count_if(answer_class in ('exact', 'dangerous_miss', 'unit_mismatch', 'range_mismatch', 'ambiguous_parse', 'unparseable')) as answered, round(count_if(answer_class = 'exact') / count(*), 6) as match_rate,
 round(coalesce(count_if(answer_class = 'exact') / nullif(count_if(answer_class in ('exact', 'dangerous_miss', 'unit_mismatch', 'range_mismatch', 'ambiguous_parse', 'unparseable')), 0), 0), 6) as precision,
 round(count_if(answer_class in ('exact', 'dangerous_miss', 'unit_mismatch', 'range_mismatch', 'ambiguous_parse', 'unparseable')) / count(*), 6) as coverage,
-case when count(*) <> 300 then 'INCOMPLETE' when count_if(answer_class = 'dangerous_miss') > 0 then 'FAIL' else 'pass' end as hard_gate from e2_answers group by 1""")
+case when count(*) <> (select count(*) // 4 from e2_answers) then 'INCOMPLETE' when count_if(answer_class = 'dangerous_miss') > 0 then 'FAIL' else 'pass' end as hard_gate from e2_answers group by 1""")
 def agg18_value_score(spark, d):
-    return E.value_scores(table(spark, d, "e2_answers"), ["arm"], 300)
+    rows = table(spark, d, "e2_answers")
+    return E.value_scores(rows, ["arm"], rows.count() // 4)  # four arms of one size make the population
 
 
 @query("select coalesce(finish_reason, 'None') as finish_reason, count(*) as n from e5_real_logs group by 1")
@@ -175,17 +178,17 @@ def top09_priority_fill(spark, d):
     return best.select("doc_id", "pair_no", "rubric_version", "chunk_index", "symptoms")
 
 
-@query(f"with {_PAIRS} select doc_id, pair_no, coalesce(b.relevance, a.relevance) as relevance from (select * from whole where rubric_version = 'r2') a left join (select doc_id as d2, max(relevance) as relevance from latest where rubric_version = 'r1' group by 1) b on b.d2 = a.doc_id")
+@query(f"with {_PAIRS} select doc_id, pair_no, coalesce(b.relevance, a.relevance) as relevance from whole a left join (select doc_id as d2, max(relevance) as relevance from latest where rubric_version = 'r1' group by 1) b on b.d2 = a.doc_id")
 def join07_overrides(spark, d):
     """Classification of pairs, where the other rubric's verdict overrides."""
     other = C.judged_chunks(table(spark, d, "judgment")).where("rubric_version = 'r1'").groupBy("doc_id").agg(F.max("relevance").alias("over"))
-    return harvested(spark, d).where("rubric_version = 'r2'").join(other, "doc_id", "left").select("doc_id", "pair_no", F.coalesce("over", "relevance").alias("relevance"))
+    return harvested(spark, d).join(other, "doc_id", "left").select("doc_id", "pair_no", F.coalesce("over", "relevance").alias("relevance"))
 
 
-@query(f"with {_PAIRS} select doc_id, pair_no, 'Likely cause: ' || diagnosis || chr(10) || 'Change: ' || change || chr(10) || 'Outcome: ' || outcome as answer from whole where rubric_version = 'r2'")
+@query(f"with {_PAIRS} select doc_id, pair_no, 'Likely cause: ' || diagnosis || chr(10) || 'Change: ' || change || chr(10) || 'Outcome: ' || outcome as answer, rubric_version, chunk_index from whole")
 def scl20_chat(spark, d):
     text = F.concat_ws("\n", F.concat(F.lit("Likely cause: "), "diagnosis"), F.concat(F.lit("Change: "), "change"), F.concat(F.lit("Outcome: "), "outcome"))
-    return harvested(spark, d).where("rubric_version = 'r2'").select("doc_id", "pair_no", text.alias("answer"))
+    return harvested(spark, d).select("doc_id", "pair_no", text.alias("answer"), "rubric_version", "chunk_index")
 
 
 @query()
@@ -193,16 +196,76 @@ def scl07_evl07_guard(spark, d):
     """The evidence guard over every answer and the texts retrieved for it. Java lookbehinds: no SQL."""
     answers = table(spark, d, "e2_answers").select("row_id", F.col("answer.value").alias("value"), "retrieved_doc_ids", "answer_class")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    pools = answers.select("row_id", F.explode(F.array_distinct("retrieved_doc_ids")).alias("doc_id")).join(docs, "doc_id")
-    evidence = pools.groupBy("row_id").agg(F.collect_list("text").alias("evidence"))
+    read = docs.select("doc_id", E.evidence_numbers(F.col("text")).alias("found")).where(F.col("found").isNotNull())
+    pools = answers.select("row_id", F.explode(F.array_distinct("retrieved_doc_ids")).alias("doc_id")).join(read, "doc_id")
+    evidence = pools.groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("pool"))
     one = answers.join(evidence, "row_id", "left")
-    return one.select("row_id", "answer_class", E.guard(F.col("value"), F.col("evidence")).alias("verdict"))
+    return one.select("row_id", "answer_class", E.guarded(F.col("value"), F.col("pool"), F.col("pool").isNotNull()).alias("verdict"))
+
+
+@query()
+def evl07_counts(spark, d):
+    """What the guard catches of harmful answers, and what it blocks of right ones."""
+    return E.guard_counts(scl07_evl07_guard(spark, d), "verdict", F.col("answer_class") == "dangerous_miss", F.col("answer_class") == "exact")
+
+
+_MIX = """verdicts as (select doc_id, title as diagnosis, case domain when 'subaru' then 'subaru' else case when kind is null then 'other' else 'modern_general' end end as relevance, case when judge_score >= 4 then 'deep' when judge_score = 3 then 'adequate' else 'shallow' end as depth,
+ case when contains(lower(coalesce(title, '')), 'idle') then 'idle' else coalesce(kind, 'none') end as topic from documents),
+ mixed as (select v.* from verdicts v where doc_id not in (select doc_id from judgment where doc_id is not null and score = 1) and relevance in ('subaru', 'modern_general') and depth <> 'shallow')"""
+
+
+def mixed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pairs, their judgments as flags."""
+    docs = table(spark, d, "documents")
+    depth = F.when(F.col("judge_score") >= 4, "deep").when(F.col("judge_score") == 3, "adequate").otherwise("shallow")
+    relevance = F.when(F.col("domain") == "subaru", "subaru").when(F.col("kind").isNull(), "other").otherwise("modern_general")
+    topic = F.when(F.lower(F.coalesce("title", F.lit(""))).contains("idle"), "idle").otherwise(F.coalesce("kind", F.lit("none")))
+    verdicts = docs.select("doc_id", relevance.alias("relevance"), depth.alias("depth"), topic.alias("topic"))
+    flagged = table(spark, d, "judgment").where("doc_id is not null and score = 1").select("doc_id")
+    return E.pair_mix(docs.select("doc_id", F.col("title").alias("diagnosis")), verdicts, flagged, "doc_id")
+
+
+@query(f"with {_MIX} select doc_id, diagnosis, relevance, depth, topic from mixed")
+def flt10_mix(spark, d):
+    """FLT-10: pairs that a mix may take."""
+    return mixed(spark, d).select("doc_id", "diagnosis", "relevance", "depth", "topic")
+
+
+@query(f"with {_MIX} select doc_id from mixed order by relevance = 'subaru' desc, topic in ('maf', 'idle', 've_load', 'injectors') desc, case depth when 'deep' then 2 else 1 end desc, length(diagnosis) desc nulls last, doc_id limit 40")
+def top09_filled(spark, d):
+    """TOP-09: the first forty by platform, lacking topic, depth and length."""
+    return E.filled(mixed(spark, d), 40, "doc_id").select("doc_id")
+
+
+@query("select 'syn-' || doc_id || '-' || k as pair_id, doc_id, json_extract_string(pairs_json, '$[' || k || '].symptoms') as symptoms from (select doc_id, pairs_json, unnest(range(json_array_length(pairs_json)::bigint)) as k from judgment where doc_id is not null and pairs_json is not null and json_valid(pairs_json))")
+def evl06_ids(spark, d):
+    """EVL-06: items of a model's output with their ids."""
+    rows = table(spark, d, "judgment").where(F.col("doc_id").isNotNull())
+    return E.numbered(rows, "syn", "doc_id", F.col("pairs_json"), "array<struct<symptoms:string,diagnosis:string,change:string,outcome:string>>", "pair_id").select("pair_id", "doc_id", "symptoms")
+
+
+_PLAIN = "trim(regexp_replace(replace(coalesce({}, ''), chr(173), ''), '[\s\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(f"""with s as (select row_id, expected_value, title, {_PLAIN.format('text')} as source, {_PLAIN.format('title')} as quote from e2_answers join documents on doc_id = retrieved_doc_ids[1])
+select row_id, contains(source, quote) as quoted, coalesce(list_bool_and(list_transform(regexp_extract_all(coalesce(expected_value, ''), '-?\d[\d.,]*'), lambda v: contains(source, v) or contains(replace(source, ',', ''), replace(v, ',', '')))), true) as stated from s""")
+def scl21_checks(spark, d):
+    """SCL-21: does the title, as a quote, and does the expected value stand in the first document retrieved?"""
+    rows = table(spark, d, "e2_answers").select("row_id", "expected_value", F.try_element_at("retrieved_doc_ids", F.lit(1)).alias("doc_id"))
+    both = rows.join(table(spark, d, "documents").select("doc_id", "text", "title"), "doc_id")
+    return both.select("row_id", T.quoted_in(F.col("title"), F.col("text")).alias("quoted"), T.values_in(F.col("expected_value"), F.col("text")).alias("stated"))
+
+
+@query("select row_id, try_cast(nullif(regexp_extract(expected_value, '-?\d+(?:\.\d+)?'), '') as double) as number from e2_answers")
+def scl38_number(spark, d):
+    """SCL-38: the first plain number of a text."""
+    return table(spark, d, "e2_answers").select("row_id", T.tolerant_number(F.col("expected_value")).alias("number"))
 
 
 @query()
 def scl04_06_numbers(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.size(numbers(t)).alias("numbers"), F.round(F.aggregate(numbers(t), F.lit(0.0), lambda a, x: a + F.least(F.abs(x), F.lit(1e6))), 3).alias("total"), (healed(t) != t).alias("torn"))
+    return table(spark, d, "documents").select("doc_id", F.size(numbers(t)).alias("numbers"), F.round(F.aggregate(numbers(t), F.lit(0.0), lambda a, x: a + F.abs(x)), 3).alias("total"), (healed(t) != t).alias("torn"))
 
 
 _EVENTS = "ev as (select user_id as unit, ts, event_id, event_type as state, value from events)"
@@ -232,11 +295,14 @@ def dml11_validate(spark, d):
     return table(spark, d, "e5_real_logs").groupBy("model", "arm").agg(verdict.alias("verdict"))
 
 
-@query("with f as (select arm, run_no, answer_class, row_id, concat(arm, '-', run_no) as file from e2_answers) select arm, max(file) as newest, max_by(n, file) as n from (select arm, file, count(*) as n from f group by 1, 2) group by 1")
+@query("with f as (select arm, arm || '-' || run_no as file, row_id from e2_answers where arm is not null and run_no is not null), l as (select arm, max(file) as file from f group by 1) select arm as tag, file, count(*) as n from f join l using (arm, file) group by all")
 def src19_newest_file(spark, d):
-    """The newest result file of each tag and its rows."""
-    f = table(spark, d, "e2_answers").groupBy("arm", F.concat_ws("-", "arm", F.col("run_no").cast("string")).alias("file")).agg(F.count("*").alias("n"))
-    return f.groupBy("arm").agg(F.max("file").alias("newest"), F.max_by("n", "file").alias("n"))
+    """SRC-19: results written as a file for each run, and the rows of the newest file of each tag."""
+    path = scratch(spark, "results")
+    rows = table(spark, d, "e2_answers").where("arm is not null and run_no is not null").select("row_id", F.concat_ws("-", "arm", F.col("run_no").cast("string")).alias("file"))
+    rows.write.partitionBy("file").json(path)
+    newest = files.newest_per_tag(spark, path, "row_id bigint", r"^file=(.+)-\d+$")
+    return newest.groupBy("tag", F.regexp_replace("_file", "^file=", "").alias("file")).agg(F.count("*").alias("n"))
 
 
 @query("select count(*) as answers, count(p.probe_id) as known from e2_answers a left join (select distinct probe_id from e2_answers where run_no = 1) p on p.probe_id = a.probe_id")

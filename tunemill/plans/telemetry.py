@@ -213,3 +213,27 @@ def scl33_34_fuel(spark, d):
     """AFR and lambda; a trim as a fraction turned into a flow correction."""
     lam = F.col("tolerance_pct") / 10
     return table(spark, d, "e2_answers").select("row_id", F.round(14.7 * F.col("tolerance_pct") / 10, 6).alias("afr"), F.round(lam, 6).alias("lam"), F.round(F.col("tolerance_pct") / (1 + F.col("tolerance_pct")), 6).alias("flow"))
+
+
+_HOLDS = """holds as (select rig, gpu, date_trunc('hour', ts) as hold, avg(power_w) as maf, avg(fan1_rpm) as rpm, avg(vram_c) / 6 as volts, avg(util_pct) - 95 as trim from memtest_soak where ts is not null and rig is not null and gpu is not null group by all),
+ obs as (select h.*, maf / first_maf as air_scale, case when abs(volts - first_volts) <= 0.6 then case when rpm <= 1000 then 100.0 when rpm <= 2500 then 100 + (rpm - 1000) / 1500 * 250 when rpm is not null then 350.0 end end as nominal
+  from holds h join (select rig, gpu, min_by(maf, hold) as first_maf, min_by(volts, hold) as first_volts from holds group by all) using (rig, gpu) where first_maf > 0)"""
+
+
+def observed(spark: SparkSession, d: str) -> DataFrame:
+    """Hours as holds, power as airflow."""
+    soak = table(spark, d, "memtest_soak").dropna(subset=["ts", "rig", "gpu"])
+    holds = soak.groupBy("rig", "gpu", F.date_trunc("hour", "ts").alias("hold")).agg(F.avg("power_w").alias("maf"), F.avg("fan1_rpm").alias("rpm"), (F.avg("vram_c") / 6).alias("volts"), (F.avg("util_pct") - 95).alias("trim"))
+    return T.observations(holds, ["rig", "gpu"], "hold", ([1000.0, 2500.0], [100.0, 350.0]))
+
+
+@query(f"with {_HOLDS} select rig, gpu, hold, round(air_scale, 6) as air_scale, round(nominal, 4) as nominal, round(trim / 100, 6) as trim_fraction from obs")
+def agg05_observations(spark, d):
+    """AGG-05: air scale, charging test and nominal airflow of each hold."""
+    return observed(spark, d).select("rig", "gpu", F.col("hold").cast("timestamp_ntz").alias("hold"), F.round("air_scale", 6).alias("air_scale"), F.round("nominal", 4).alias("nominal"), F.round("trim_fraction", 6).alias("trim_fraction"))
+
+
+@query(f"with {_HOLDS} select rig, gpu, round(avg(case when maf is not null and nominal <> 0 then maf / nominal end), 6) as ratio, coalesce(bool_and(case when maf is not null and nominal <> 0 then volts > 10 end), true) as validated from obs group by all")
+def est02_airflow_ratio(spark, d):
+    """EST-02: read over nominal airflow, and the vote on the baseline."""
+    return T.airflow_ratio(observed(spark, d).withColumn("sound", F.col("volts") > 10), ["rig", "gpu"], "sound").select("rig", "gpu", F.round("ratio", 6).alias("ratio"), "validated")

@@ -6,6 +6,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder of the checkpoints."""
+    settle(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def _bytes(field: StructField) -> Column:
     c, kind = F.col(f"`{field.name}`"), field.dataType
     if isinstance(kind, (StringType, BinaryType)):

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tunemill.session import small
+
 _ROM = "romid struct<xmlid:string,ecuid:string,make:string,model:string,submodel:string,year:string,market:string,transmission:string,memmodel:string,flashmethod:string>, include array<string>, table array<struct<_name:string>>"
 
 
@@ -124,44 +126,51 @@ def epub_chapters(data: bytes) -> list[tuple[int, str, str]]:
 
 
 def books(spark: SparkSession, path: str, min_chars: int = 80) -> DataFrame:
-    """(url, source_id, title, text): a document for each chapter of an EPUB, and for each page of a PDF where pypdf is there.
+    """(url, source_id, title, text, error): a document for each chapter of an EPUB and for each page of a PDF.
 
-    A file that can't be read gives no row.
+    A file that can't be read gives one row with its error and no text. Where there are PDFs, pypdf must be installed: the
+    workers fail without it, as every PDF would be lost.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(epub|pdf)$")).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
         for files in batches:
             rows = []
             for url, data in zip(files["path"], files["content"]):
-                name = url.rsplit("/", 1)[-1]
+                name, is_pdf = url.rsplit("/", 1)[-1], url.lower().endswith(".pdf")
+                if is_pdf:
+                    from pypdf import PdfReader
                 try:
-                    if url.lower().endswith(".epub"):
-                        rows += [(url, f"{name}#c{i}", title or name, text) for i, title, text in epub_chapters(data)]
+                    if is_pdf:
+                        rows += [(url, f"{name}#p{i + 1}", name, page.extract_text() or "", None) for i, page in enumerate(PdfReader(io.BytesIO(data)).pages)]
                     else:
-                        import io
-
-                        from pypdf import PdfReader
+                        rows += [(url, f"{name}#c{i}", title or name, text, None) for i, title, text in epub_chapters(data)]
+                except Exception as e:  # a bad file never ends the pass
+                    rows.append((url, name, name, None, f"{type(e).__name__}: {e}"[:200]))
+            yield pd.DataFrame(rows, columns=["url", "source_id", "title", "text", "error"])
 
-                        rows += [(url, f"{name}#p{i + 1}", name, page.extract_text() or "") for i, page in enumerate(PdfReader(io.BytesIO(data)).pages)]
-                except Exception:  # a bad file never ends the pass
-                    continue
-            yield pd.DataFrame(rows, columns=["url", "source_id", "title", "text"])
+    return files.mapInPandas(run, "url string, source_id string, title string, text string, error string").where((F.length("text") >= min_chars) | F.col("error").isNotNull())
 
-    return files.mapInPandas(run, "url string, source_id string, title string, text string").where(F.length("text") >= min_chars)
 
-
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines; blank lines are none, broken ones are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def json_lines(spark: SparkSession, path: str, schema: str, broken: str | None = None) -> DataFrame:
+    """Rows of JSON lines; blank lines are none. Broken lines are left out, or kept as they are in the column `broken`."""
+    if broken is None:
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(f"{schema}, `{broken}` string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", broken).json(path)
 
 
 def newest_per_tag(spark: SparkSession, path: str, schema: str, tag: str) -> DataFrame:
-    """The rows of the last file, by name, of each tag; a file's tag is what the pattern captures in its name."""
-    rows = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_name"))
-    rows = rows.withColumn("tag", F.regexp_extract("_file", tag, 1))
+    """The rows of the last file, by name, of each tag; a file's tag is what the pattern captures in its name.
+
+    Names are those under path; a folder of part files is one file by the folder's name.
+    """
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    under = F.regexp_extract(F.url_decode("_metadata.file_path"), "/" + re.escape(path.rstrip("/").rsplit("/", 1)[-1]) + "/(?:(.+)/[^/]+|([^/]+))$", 1)
+    rows = rows.withColumn("_file", F.coalesce(F.nullif(under, F.lit("")), F.col("_metadata.file_name"))).withColumn("tag", F.regexp_extract("_file", tag, 1))
     last = rows.groupBy("tag").agg(F.max("_file").alias("_file"))
-    return rows.join(F.broadcast(last) if last.limit(10_001).count() <= 10_000 else last, ["tag", "_file"])
+    return rows.join(small(last), ["tag", "_file"])
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

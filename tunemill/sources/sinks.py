@@ -14,6 +14,58 @@ def store(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
     w.parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there, jvm.org.apache.hadoop.fs.Path
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Replace a Parquet table whole, also by rows that were read from it: written beside it first, then renamed.
+
+    A failure before the renames leaves the old table; one between them leaves both under other names.
+    """
+    fs, there, at = _files(df.sparkSession, path)
+    new, old = at(f"{path}._new"), at(f"{path}._old")
+    df.write.mode("overwrite").parquet(new.toString())
+    fs.delete(old, True)
+    if fs.exists(there) and not fs.rename(there, old):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, there):
+        raise OSError(f"can't move the new {path} into place")
+    fs.delete(old, True)
+
+
+def put(incoming: DataFrame, path: str, keys: list[str], order: list[Column]) -> None:
+    """Write incoming rows into a table keyed by `keys`: of each key the incoming row, the first by order, else the stored."""
+    from tunemill.operators.corpus import latest
+
+    spark = incoming.sparkSession
+    fs, there, _ = _files(spark, path)
+    new = latest(incoming, keys, order)
+    if fs.exists(there):
+        new = new.unionByName(spark.read.parquet(path).join(new.select(*keys), keys, "left_anti"))
+    replace(new, path)
+
+
+def report(text: str, spark: SparkSession, path: str) -> None:
+    """Write a report atomically: readers see the old one or the new one, whole."""
+    fs, there, at = _files(spark, path)
+    beside = at(f"{path}._new")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(there, False)
+    if not fs.rename(beside, there):
+        raise OSError(f"can't move the new {path} into place")
+
+
+def resumed(spark: SparkSession, path: str, schema: str, keys: list[str], asked: DataFrame) -> DataFrame:
+    """The rows of asked whose keys a report of JSON lines doesn't hold yet; all of them where there is no report."""
+    fs, there, _ = _files(spark, path)
+    return asked.join(spark.read.schema(schema).json(path).select(*keys).distinct(), keys, "left_anti") if fs.exists(there) else asked
+
+
 def audit(df: DataFrame, path: str, at: str) -> None:
     """Append rows to a log of JSON lines, a folder for each UTC day, stamped to the second."""
     stamp = F.date_format(F.col(at), "yyyy-MM-dd'T'HH:mm:ss'Z'")
