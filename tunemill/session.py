@@ -79,14 +79,16 @@ def _bytes(field: StructField) -> Column:
     return F.lit(8)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its rows and their bytes, both counted, are few enough; else as it is, for a shuffled join.
-
-    Give a settled or scanned df: counting runs it.
-    """
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Are the rows of df and their bytes, both counted, few enough to be broadcast? Counting runs df: give a settled or scanned one."""
     width = sum((_bytes(f) for f in df.schema), F.lit(0)).cast("bigint")
     n, total = df.limit(rows + 1).select(width.alias("_w")).agg(F.count("*"), F.coalesce(F.sum("_w"), F.lit(0))).first()
-    return F.broadcast(df) if n <= rows and total <= size else df
+    return n <= rows and total <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it fits; else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits(df, rows, size) else df
 
 
 def source_name(col: Column | str = "source") -> Column:
