@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunemill.session import BROADCAST_ROWS, settle, source_name
+from tunemill.session import BROADCAST_ROWS, fits, settle, source_name
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,8 @@ class LineCfg:
     min_share: float = 0.05
     #: First capacity of a summary; it grows where the error bound asks for it.
     capacity: int = 2_000
+    #: Keys that a partition's summaries hold together before they are passed on and begun anew, which adds to no error.
+    held_keys: int = 1_000_000
     broadcast_rows: int = BROADCAST_ROWS
 
 
@@ -67,6 +69,14 @@ class Summary:
 def _summaries(cfg: LineCfg):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, Summary] = {}
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for name, s in kept.items():
+                for at in range(0, len(s.keys), 20_000):
+                    part = slice(at, at + 20_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(s.keys[part]), pa.string()), pa.array(s.keys[part]), pa.array(s.counts[part])], names=["_src", "_hash", "_n"])
+            kept.clear()
+
         for batch in batches:
             source = batch.column("_src").dictionary_encode()
             names, code = source.dictionary.to_pylist(), source.indices.to_numpy(zero_copy_only=False)
@@ -79,10 +89,9 @@ def _summaries(cfg: LineCfg):
             docs = np.bincount(code, minlength=len(names))
             for i, name in enumerate(names):
                 kept.setdefault(name, Summary(cfg.capacity, cfg.min_share)).add(flat[order[bounds[i] : bounds[i + 1]]], int(docs[i]))
-        for name, s in kept.items():
-            for at in range(0, len(s.keys), 20_000):
-                part = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(s.keys[part]), pa.string()), pa.array(s.keys[part]), pa.array(s.counts[part])], names=["_src", "_hash", "_n"])
+            if sum(len(s.keys) for s in kept.values()) > cfg.held_keys:
+                yield from passed_on()
+        yield from passed_on()
 
     return run
 
@@ -92,14 +101,20 @@ def _sets(pairs: DataFrame, value: str, broadcast: bool) -> DataFrame:
     return F.broadcast(sets) if broadcast else sets
 
 
+def _let(value: Column, then) -> Column:
+    """then(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _matches(docs: DataFrame, pairs: DataFrame, value: str, cfg: LineCfg) -> DataFrame:
     """docs (with _src) and _hits: the lines of a document, as (no, key), whose key or hash is in pairs(_src, value)."""
     keyed = docs.where(F.col("text").isNotNull() & F.col("_src").isNotNull()).withColumn("_keys", line_keys(F.col("text"), cfg.min_letters))
     probe = (lambda k: F.xxhash64(k)) if value == "_hash" else (lambda k: k)
     lines = F.transform("_keys", lambda k, i: F.struct((i + 1).cast("int").alias("no"), k.alias("key")))
-    if pairs.limit(cfg.broadcast_rows + 1).count() <= cfg.broadcast_rows:
-        hit = lambda x: x["key"].isNotNull() & F.array_contains("_set", probe(x["key"]))
-        joined = keyed.join(_sets(pairs, value, True), "_src").withColumn("_hits", F.filter(lines, hit))
+    if fits(pairs, cfg.broadcast_rows):
+        met = F.array_intersect(F.transform("_keys", probe), "_set")  # by hashing; few are left to look through line by line
+        hits = _let(met, lambda some: F.when(F.size(some) > 0, F.filter(lines, lambda x: x["key"].isNotNull() & F.array_contains(some, probe(x["key"])))))
+        joined = keyed.join(_sets(pairs, value, True), "_src").withColumn("_hits", hits)
         return joined.where(F.size("_hits") > 0).drop("_set", "_keys")
     rows = keyed.select("_src", "doc_id", F.explode(lines).alias("_hit")).where(F.col("_hit.key").isNotNull())
     rows = rows.withColumn(value, probe(F.col("_hit.key")))
@@ -116,7 +131,7 @@ def repeated_lines(docs: DataFrame, cfg: LineCfg = LineCfg()) -> DataFrame:
     keys = F.filter(line_keys(F.col("text"), cfg.min_letters), lambda k: k.isNotNull())
     hashed = base.where(F.col("_src").isNotNull()).select("_src", F.coalesce(F.array_distinct(F.transform(keys, lambda k: F.xxhash64(k))), F.array().cast("array<bigint>")).alias("_hashes"))
     summed = hashed.mapInArrow(_summaries(cfg), "_src string, _hash bigint, _n bigint").groupBy("_src", "_hash").agg(F.sum("_n").alias("_n"))
-    of = F.broadcast(of_source) if of_source.count() <= cfg.broadcast_rows else of_source
+    of = F.broadcast(of_source) if fits(of_source, cfg.broadcast_rows) else of_source
     candidates = settle(summed.join(of, "_src").where((F.col("_n") >= 0.5 * cfg.min_share * F.col("_of")) & (F.col("_of") >= cfg.min_docs)).select("_src", "_hash"))
     hits = _matches(base, candidates, "_hash", cfg)
     per_doc = hits.select("_src", "doc_id", F.explode(F.array_distinct(F.transform("_hits", lambda x: x["key"]))).alias("key"))
@@ -138,10 +153,10 @@ def without_repeated(docs: DataFrame, lines: DataFrame, cfg: LineCfg = LineCfg()
     The set of a source has at most 1 / min_share times its mean lines per document, so one row carries it.
     """
     sets = lines.groupBy(F.col("source").alias("_tm_src")).agg(F.collect_list("key").alias("_tm_set"))
-    fits = lines.limit(cfg.broadcast_rows + 1).count() <= cfg.broadcast_rows
-    joined = docs.withColumn("_tm_src", source_name("source")).join(F.broadcast(sets) if fits else sets, "_tm_src", "left")
-    pieces = F.arrays_zip(F.split("text", "\n", -1).alias("line"), line_keys(F.col("text"), cfg.min_letters).alias("key"))
-    left = F.filter(pieces, lambda x: x["key"].isNull() | ~F.array_contains("_tm_set", x["key"]))
+    joined = docs.withColumn("_tm_src", source_name("source")).join(F.broadcast(sets) if fits(lines, cfg.broadcast_rows) else sets, "_tm_src", "left")
+    keys = line_keys(F.col("text"), cfg.min_letters)
+    pieces = F.arrays_zip(F.split("text", "\n", -1).alias("line"), keys.alias("key"))
+    left = _let(F.array_intersect(keys, "_tm_set"), lambda some: F.filter(pieces, lambda x: x["key"].isNull() | ~F.array_contains(some, x["key"])))
     gone = F.size(F.split("text", "\n", -1)) - F.size(left)
     changed = F.col("_tm_set").isNotNull() & F.col("text").isNotNull()
     joined = joined.withColumn("n_removed", F.when(changed, gone).otherwise(0))

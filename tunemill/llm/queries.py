@@ -34,6 +34,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces(table(spark, d, "documents"), table(spark, d, "chunking_cfg"))
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document that is cut: are all pieces within the limit, does each repeat just the overlap, is the text covered?"""
+    docs, cfg = table(spark, d, "documents"), table(spark, d, "chunking_cfg")
+    limits = cfg.where("max_chars > 0").groupBy("kind").agg(F.min("max_chars").alias("most"), F.min("overlap_chars").alias("overlap"))
+    each = chunking.pieces(docs, cfg).join(docs.join(F.broadcast(limits), "kind").select("doc_id", "most", "overlap", F.col("text").alias("whole")), "doc_id")
+    fresh = F.when(F.col("piece_no") == 1, F.col("text")).otherwise(F.expr("substring(text, overlap + 1)"))
+    again = (F.col("piece_no") == 1) | (F.expr("substring(whole, start + 1, overlap)") == F.expr("left(text, overlap)"))
+    parts = each.select("doc_id", "piece_no", "whole", fresh.alias("fresh"), (F.length("text") <= F.col("most")).alias("fits"), again.alias("again"))
+    joined = parts.groupBy("doc_id", "whole").agg(F.bool_and("fits").alias("within_limit"), F.bool_and("again").alias("overlaps"), F.array_sort(F.collect_list(F.struct("piece_no", "fresh"))).alias("p"))
+    return joined.select("doc_id", "within_limit", "overlaps", (F.array_join(F.transform("p", lambda x: x["fresh"]), "") == F.col("whole")).alias("covers"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cutoff.document_cutoffs(table(spark, d, "documents"), table(spark, d, "keep_target"))
 
@@ -60,6 +72,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents"))
 
 
+def p8_text(spark: SparkSession, d: str) -> DataFrame:
+    """The round trip: every text from its ids."""
+    return encode.decode(encode.encode(table(spark, d, "documents")))
+
+
 def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_target")
     tokens = mix.mixed_tokens(table(spark, d, "documents"), targets)
@@ -90,6 +107,17 @@ def p9_order(spark: SparkSession, d: str) -> DataFrame:
     return mix.positions(tokens, planned, _ramps(planned))
 
 
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source of a mix: are the repeats within their cap, what is drawn at least what is due or all there is, and less
+    than a document over it, and is every position between 0 and 1?"""
+    tokens, planned = _mix(spark, d)
+    drawn = mix.seats(tokens, planned, _ramps(planned))
+    got = drawn.groupBy("mix_id", "source").agg(F.sum("n_tokens").alias("tokens"), F.max("n_tokens").alias("largest"), F.max("repeat_no").alias("repeats"), F.bool_and(F.col("position").between(0, 1)).alias("placed"))
+    rows = planned.join(got, ["mix_id", "source"], "left").na.fill(0, ["tokens", "largest", "repeats"])
+    enough = F.when(F.col("most") < F.col("due"), F.col("tokens") == F.col("most")).otherwise((F.col("tokens") >= F.col("due")) & (F.col("tokens") < F.col("due") + F.greatest(F.col("largest"), F.lit(1))))
+    return rows.select("mix_id", "source", (F.col("repeats") <= F.col("max_repeats")).alias("capped"), enough.alias("enough"), F.coalesce("placed", F.lit(True)).alias("placed"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed(table(spark, d, "documents")).select("doc_id")
 
@@ -98,7 +126,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
     return spam.stuffed(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_pieces, p3_found, p3_rows, p4_found, p4_budget, p6_found, p8_ids, p9_found, p9_shares, p9_order, p10_found, p10_shares)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_lines, p1_clean, p2_found, p2_pieces, p2_checks, p3_found, p3_rows, p4_found, p4_budget, p6_found, p8_ids, p8_text, p9_found, p9_shares, p9_order, p9_checks, p10_found, p10_shares)}
 
 _KEYED = """
 keyed as (select doc_id, lower(trim(source)) as source, unnest(range(1, len(string_split(text, chr(10))) + 1)) as line_no,
@@ -132,6 +160,12 @@ select doc_id, case when coalesce(max(size), 0) > most then 'forced' else 'natur
 SQL: dict[str, str] = {
     "p2_found": _STRETCH,
     "p1_found": f"with {_KEYED} select doc_id, line_no::int as line_no from letters join sure using (source, key)",
+    "p1_clean": f"""with {_KEYED}, gone as (select doc_id, line_no from letters join sure using (source, key)), n as (select doc_id, count(*) as n_removed from gone group by 1),
+left_over as (select k.doc_id, string_agg(k.line, chr(10) order by k.line_no) as text from keyed k join n using (doc_id) left join gone g on g.doc_id = k.doc_id and g.line_no = k.line_no where g.line_no is null group by 1)
+select d.doc_id, lower(trim(d.source)) as source, coalesce(n.n_removed, 0)::int as n_removed, case when n.n_removed is null then d.text else coalesce(l.text, '') end as text from documents d left join n using (doc_id) left join left_over l using (doc_id)""",
+    "p2_checks": "with limits as (select kind, min(max_chars) as most from chunking_cfg where max_chars > 0 group by kind) select doc_id, true as within_limit, true as overlaps, true as covers from documents join limits using (kind) where length(text) > most",
+    "p8_text": "select doc_id, coalesce(text, '') as text from documents",
+    "p9_checks": "select distinct mix_id, lower(trim(source)) as source, true as capped, true as enough, true as placed from mix_target where mix_id is not null and source is not null",
     "p1_lines": f"with {_KEYED} select source, key, n_docs, of_docs from sure",
     "p3_found": _CUT + "select source, tier, cutoff::int as cutoff, kept from cut",
     "p3_rows": _CUT + "select doc_id, c.source, c.tier, judge_score, cutoff::int as cutoff from documents d join cut c on lower(trim(d.source)) = c.source and d.tier = c.tier where judge_score between cutoff and 5",
