@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tunemill.operators.ordered import day, running_total, with_neighbours
+from tunemill.operators.ordered import paced, running_total, with_neighbours
+
+#: The column of the bucket that a history is split by, as dense as its rows.
+PACE = "_tm_pace"
 
 #: Steadiness, knock and grid thresholds.
 STEADY = {"rpm": 100.0, "tps": 2.0}
@@ -28,7 +31,7 @@ def gradient(x: str) -> Column:
 
 
 def with_gradients(log: DataFrame, keys: list[str], order: list[str], ts: str, channels: list[str]) -> DataFrame:
-    near = with_neighbours(log, keys, order, day(F.col(ts)), channels)
+    near = with_neighbours(paced(log, keys, ts, PACE), keys, order, F.col(PACE), channels).drop(PACE)
     near = near.withColumns({f"d_{c}": gradient(c) for c in channels})
     return near.drop(*(f"{s}_{c}" for s in ("prev", "next") for c in channels), "is_first", "is_last")
 
@@ -49,7 +52,7 @@ def despiked(knock: str) -> Column:
 def onsets(log: DataFrame, keys: list[str], order: list[str], ts: str, knock: str) -> DataFrame:
     """(keys..., onsets, worst): steps down between neighbouring present readings, spikes left out."""
     finite = log.withColumn(knock, despiked(knock)).where(F.col(knock).isNotNull())
-    near = with_neighbours(finite, keys, order, day(F.col(ts)), [knock])
+    near = with_neighbours(paced(finite, keys, ts, PACE), keys, order, F.col(PACE), [knock])
     return near.groupBy(*keys).agg(F.count_if(F.col(knock) - F.col(f"prev_{knock}") <= -ONSET_STEP).alias("onsets"), F.min(knock).alias("worst"))
 
 
@@ -122,8 +125,10 @@ def range_histogram(log: DataFrame, keys: list[str], x: str, edges: list[float],
 def sample_hz(log: DataFrame, keys: list[str], order: list[str], ts: str) -> DataFrame:
     """Rate by the median of time steps; null for a single sample or a median of 0."""
     rows = log.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6)
-    near = with_neighbours(rows, keys, order, day(F.col(ts)), ["_t"])
-    return near.groupBy(*keys).agg(F.try_divide(F.lit(1.0), F.median(F.col("_t") - F.col("prev__t"))).alias("hz"))
+    near = with_neighbours(paced(rows, keys, ts, PACE), keys, order, F.col(PACE), ["_t"])
+    # Steps of a log repeat, so that the median is taken over counted steps.
+    steps = near.groupBy(*keys, F.round(F.col("_t") - F.col("prev__t"), 6).alias("_step")).agg(F.count("*").alias("_n"))
+    return steps.groupBy(*keys).agg(F.try_divide(F.lit(1.0), F.round(F.percentile("_step", 0.5, F.col("_n")), 6)).alias("hz"))
 
 
 def trailing_run(rows: DataFrame, keys: list[str], order: list[str], ok: Column) -> DataFrame:

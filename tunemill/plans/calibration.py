@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tunemill.operators import calibration as C
 from tunemill.operators import definitions as D
@@ -177,6 +178,22 @@ def win09_scl16_chunks(spark, d):
     return J.chunks(table(spark, d, "documents"), 4_000, 200)
 
 
+@query("select doc_id, true as numbered, true as within, true as natural from documents where text is not null")
+def win09_checks(spark, d):
+    """WIN-09: are a document's chunks numbered in full, within the limit and its overlap, and made of its own text?"""
+    each = J.chunks(table(spark, d, "documents"), 4_000, 200).join(table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", "").alias("whole")), "doc_id")
+    last = F.regexp_replace(F.element_at(F.split("text", "\n\n"), -1), r"\s+", "")
+    return each.groupBy("doc_id").agg(((F.count("*") == F.max("n_chunks")) & (F.countDistinct("chunk_index") == F.max("n_chunks")) & (F.min("chunk_index") == 0)).alias("numbered"), (F.max(F.length("text")) <= 4_202).alias("within"), F.bool_and(F.contains("whole", last)).alias("natural"))
+
+
+@query(f"with {_EDITS} select distinct proposal, true as rising from edits where kind = 'sensor'")
+def win11_checks(spark, d):
+    """WIN-11: does each edited cell lie over its left neighbour, or keep its current value?"""
+    w = Window.partitionBy("proposal").orderBy("col")
+    cells = win11_monotone(spark, d).withColumn("left", F.lag("new").over(w))
+    return cells.groupBy("proposal").agg(F.bool_and(F.col("left").isNull() | (F.col("new") > F.col("left")) | (F.col("new") == F.col("cur"))).alias("rising"))
+
+
 @query()
 def evl01_judged(spark, d):
     """The judging loop with a scorer that needs no model: a score by length."""

@@ -121,6 +121,17 @@ def scl17_parts(spark, d):
     return table(spark, d, "documents").where(F.col("source_id").isNotNull()).select("doc_id", p.alias("parent"), F.row_number().over(Window.partitionBy(p).orderBy("doc_id")).alias("part"))
 
 
+@query("select doc_id, true as within, true as whole, length(trim(coalesce(text, ''), e' \\t\\n\\r')) > 1200 as cut from documents where text is not null")
+def scl11_checks(spark, d):
+    """SCL-11: is each window of at most 1200 characters a stretch of its text that begins and ends between words?"""
+    rows = scl11_win08_windows(spark, d).join(table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
+    own = F.regexp_replace(F.regexp_replace("snippet", "^… ", ""), " …$", "")
+    at = F.position(own, F.col("text"))  # a window of a text may stand there more than once; one whole occurrence is enough
+    padded = F.concat(F.lit(" "), F.regexp_replace("text", r"[\s\p{Z}]", " "), F.lit(" "))
+    between = (at > 0) & (F.contains(padded, F.concat(F.lit(" "), F.regexp_replace(own, r"[\s\p{Z}]", " "), F.lit(" "))) | (own == ""))
+    return rows.select("doc_id", (F.length("snippet") <= 1_200).alias("within"), between.alias("whole"), (F.length(F.btrim("text", F.lit(" \t\n\r"))) > 1_200).alias("cut"))
+
+
 _SETS = """sets as (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as s from documents where text is not null),
   reps as (select min(doc_id) as rep, s, len(s) as n from sets where len(s) > 0 group by s), each as (select rep, n, unnest(s) as w from reps),
   shared as (select a.rep as a, b.rep as b, a.n + b.n as n, count(*) as o from each a join each b on a.w = b.w and a.rep < b.rep group by all),

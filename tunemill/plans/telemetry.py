@@ -153,7 +153,7 @@ _RUNS = "ordered as (select *, row_number() over (partition by user_id order by
 @query(f"with {_RUNS} select user_id, event_type, count(*) as n, min(event_id) as first_id from ordered group by user_id, event_type, a - b having count(*) >= 3")
 def win04_stable_runs(spark, d):
     """Three equal events in a row, the stability gate's condition."""
-    r = O.runs(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], O.day(F.col("ts")), "event_type")
+    r = O.runs(O.paced(table(spark, d, "events"), ["user_id"], "ts", "pace"), ["user_id"], ["ts", "event_id"], F.col("pace"), "event_type")
     return r.where("n >= 3").select("user_id", "event_type", "n", F.col("start.event_id").alias("first_id"))
 
 
@@ -172,9 +172,9 @@ def win07_merged_intervals(spark, d):
 @query("with o as (select user_id, ts, event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as i, value > 50 as hit from events), h as (select *, i - row_number() over (partition by user_id order by i) as g from o where hit) select user_id, min(i) as start, max(i) + 1 as stop from h group by user_id, g")
 def win06_hit_ranges(spark, d):
     """Index ranges [start, stop) of neighbouring hits, as of differing bytes."""
-    rows = O.running_total(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], O.day(F.col("ts")), F.lit(1), "i").withColumn("i", F.col("i") - 1)
+    rows = O.running_total(O.paced(table(spark, d, "events"), ["user_id"], "ts", "pace"), ["user_id"], ["ts", "event_id"], F.col("pace"), F.lit(1), "i").withColumn("i", F.col("i") - 1)
     hits = rows.where(F.col("value") > 50)
-    numbered = O.running_total(hits, ["user_id"], ["ts", "event_id"], O.day(F.col("ts")), F.lit(1), "k")
+    numbered = O.running_total(hits, ["user_id"], ["ts", "event_id"], F.col("pace"), F.lit(1), "k")
     return numbered.groupBy("user_id", (F.col("i") - F.col("k")).alias("g")).agg(F.min("i").alias("start"), (F.max("i") + 1).alias("stop")).drop("g")
 
 
