@@ -227,15 +227,20 @@ def language_of(text: str) -> tuple[str | None, Counter]:
 def wrong_language(content: str, prompt: str) -> bool:
     if json_state(content) != "none":
         return False
-    theirs, _ = language_of(prompt)
     ours, counts = language_of(content)
-    if ours is None or theirs is None or ours == theirs or counts[theirs] * 2 > counts[ours] > 0:
+    if ours is None:
+        return False
+    theirs, _ = language_of(prompt)
+    if theirs is None or ours == theirs or counts[theirs] * 2 > counts[ours] > 0:
         return False
     return not (ours in _ASKED and _ASKED[ours].search(prompt))
 
 
+_FIGURES = re.compile(r"\d+(?:[.,]\d+)*")
+
+
 def _tokens(line: str) -> list[str]:
-    return ["0" if t[0].isdigit() else t for t in _TOKEN.findall(line.lower())]
+    return _TOKEN.findall(_FIGURES.sub("0", line.lower()))
 
 
 def context(line: str) -> str:
@@ -244,18 +249,24 @@ def context(line: str) -> str:
     return (". " if line.endswith(".") else "") + " ".join(_tokens(line.rstrip("."))[-3:])
 
 
-def contexts(text: str, count: Counter, asked: frozenset[str] | None = None) -> None:
+class Asked:
+    """Contexts to be counted, with the tokens that they end in."""
+
+    def __init__(self, keys: frozenset[str]):
+        self.keys, self.last = keys, frozenset(k.rsplit(" ", 1)[-1] for k in keys)
+
+
+def contexts(text: str, count: Counter, asked: Asked | None = None) -> None:
     """Add how often lines end, or go on, after each context (of asked, if given); and sentences after each that ends in a number."""
-    last = None if asked is None else frozenset(k.rsplit(" ", 1)[-1] for k in asked)
-    marked = asked is None or any(k.startswith(". ") for k in asked)
+    keys, last = (asked.keys, asked.last) if asked else (None, None)
     for line in text.split("\n"):
         tokens = _tokens(line)
         at = None
         for i in range(len(tokens)) if last is None else [i for i, t in enumerate(tokens) if t in last]:
             key = " ".join(tokens[max(0, i - 2) : i + 1])
-            if asked is None or key in asked:
+            if keys is None or key in keys:
                 count[key, i == len(tokens) - 1] += 1
-            if marked and tokens[i] == "0" and (asked is None or ". " + key in asked):
+            if tokens[i] == "0" and (keys is None or ". " + key in keys):
                 at = at or [m.end() for m in _TOKEN.finditer(line.lower())]
                 after = line.lower()[at[i] : at[i] + 2]
                 count[". " + key, after == "." or (after[:1] == "." and after[1:].isspace())] += 1
@@ -307,7 +318,9 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_JUDGED)], names=[n for n, _ in _JUDGED])
 
 
-def _counted(asked: frozenset[str] | None):
+def _counted(known: frozenset[str] | None):
+    asked = None if known is None else Asked(known)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: Counter = Counter()
