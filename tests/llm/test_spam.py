@@ -32,3 +32,25 @@ def test_pages(spark):
     got = sorted(r.doc_id for r in spam.stuffed(d).collect())
     assert got == sorted([0, *range(len(PAGES)), 992])
     assert spam.stuffed(d.where("false")).count() == 0
+
+
+def test_every_measure_decides():
+    usual = [0.16, 0.5, 0.5, 0.12, 0.5, 0.4]
+    share = lambda text, limits=usual: spam.spam_share(spam.measures(text)[1], len(text) + 1, limits)
+    without = lambda k: [(-1.0 if j == 0 else 9.0) if j == k else x for j, x in enumerate(usual)]
+    assert all(share(t) > 0.5 for k, t in PAGES.items() if k != "ja") and all(share(t) <= 0.5 for k, t in PLAIN.items() if k != "ja prose")
+    for k, lost in ((0, ("list", "run", "offers", "towns")), (1, ("marked",)), (4, ("list", "run"))):
+        assert all(share(PAGES[name], without(k)) <= 0.5 for name in lost), k
+    assert share(PAGES["run"], without(3)) > 0.5 >= share(PAGES["run"], [*usual[:3], 9.0, 0.5, 9.0])  # only its word pairs tell
+    short = "boost gauge, turbo kit, boost gauge\nturbo kit, remap shop, remap shop"
+    assert share(short) > 0.5  # twice is often on a page of few words
+    assert list(spam._recurring([["turbo", "kit", "turbo", "kit"], ["other"]])) == [(1.0, 2 / 3), (0.0, 0.0)]
+
+
+def test_a_threshold_lies_between_two_groups():
+    import numpy as np
+
+    n = np.zeros(51)
+    n[[2, 3, 40, 44]] = [5, 9, 7, 4]
+    assert 0.06 < spam.valley(n) <= 0.8 and spam.valley(np.zeros(51)) == 1.0
+    assert spam.limit(0, n) == 0.5 * 3.5 / 50 and spam.limit(3, n) == 0.88
