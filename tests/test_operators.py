@@ -177,6 +177,10 @@ def test_estimator_finds_the_fault(spark):
     w = S.worlds(spark, 6)
     got = S.estimates(w, "world").join(w.select("world", "truth", F.col("size").alias("true_size")), "world").collect()
     assert all(r.fault == r.truth for r in got if r.reason is None) and sum(r.reason is None for r in got) >= 0.9 * len(got)
+    ranked = S.hypotheses(w, "world").collect()
+    first = {r.world: r for r in ranked if r["rank"] == 1}
+    assert len(ranked) == len(S.KNOB) * len(first) and all(r.squares >= first[r.world].squares for r in ranked)
+    assert all(first[r.world].fault == r.fault for r in got if r.reason is None)
     few = S.estimates(w.withColumn("t1", F.lit(None).cast("double")).withColumn("t2", F.lit(None).cast("double")), "world")
     assert {r.reason for r in few.collect()} == {"few points"}
     assert {r.reason for r in S.estimates(w.where("truth = 'maf_low'").withColumn("validated", F.lit(False)), "world").collect()} == {"baseline"}

@@ -73,6 +73,30 @@ def _fit(fault: str, believed: dict, seen: np.ndarray, ratio: np.ndarray, rounds
     return best, _squares(fault, best, believed, seen, ratio)
 
 
+def _measured(b: pd.DataFrame) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+    """Fits by fault, what was seen, the measured ratio and whether its baseline is validated, of a batch of worlds."""
+    believed = {k: b[k].to_numpy(float) for k in ("flow", "latency", "maf")}
+    seen, measured = b[["t0", "t1", "t2"]].to_numpy(float), b["maf_ratio"].to_numpy(float)
+    valid = b["validated"].fillna(False).to_numpy(bool)
+    return {f: _fit(f, believed, seen, np.where(valid, measured, np.nan)) for f in KNOB}, seen, measured, valid
+
+
+def hypotheses(worlds: DataFrame, key: str) -> DataFrame:
+    """(key, rank, fault, knob, size, squares): every fault as an explanation of each world, by its sum of squares; of equals
+    in the order of the faults."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fits, *_ = _measured(b)
+            names = list(fits)
+            sse = np.stack([fits[f][1] for f in names], axis=1)
+            order = np.argsort(sse, axis=1, kind="stable")
+            rows = [(k, r + 1, names[j], KNOB[names[j]], float(fits[names[j]][0][i]), float(sse[i, j])) for i, k in enumerate(b[key]) for r, j in enumerate(order[i])]
+            yield pd.DataFrame(rows, columns=[key, "rank", "fault", "knob", "size", "squares"])
+
+    return worlds.mapInPandas(run, f"{key} {worlds.schema[key].dataType.simpleString()}, rank int, fault string, knob string, size double, squares double")
+
+
 def estimates(worlds: DataFrame, key: str) -> DataFrame:
     """(key, fault, size, margin, reason) for worlds(key, flow, latency, maf, t0, t1, t2, maf_ratio, validated).
 
@@ -82,11 +106,7 @@ def estimates(worlds: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            believed = {k: b[k].to_numpy(float) for k in ("flow", "latency", "maf")}
-            seen = b[["t0", "t1", "t2"]].to_numpy(float)
-            measured = b["maf_ratio"].to_numpy(float)
-            valid = b["validated"].fillna(False).to_numpy(bool)
-            fits = {f: _fit(f, believed, seen, np.where(valid, measured, np.nan)) for f in KNOB}
+            fits, seen, measured, valid = _measured(b)
             names = list(fits)
             sse = np.stack([fits[f][1] for f in names], axis=1)
             order = np.argsort(sse, axis=1, kind="stable")

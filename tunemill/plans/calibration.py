@@ -120,16 +120,29 @@ def sim05_rules(spark, d):
     return r.select("l_orderkey", "l_linenumber", S.rules(ti, tf, md).alias("v1"), S.rules(ti, tf, md, tl).alias("v2"))
 
 
+def worlds(spark: SparkSession, d: str) -> DataFrame:
+    """As many worlds of each fault as there are documents in a hundred."""
+    return S.worlds(spark, max(1, table(spark, d, "documents").count() // 100))
+
+
 @query()
 def est01_estimates(spark, d):
     """Seeded worlds of every fault and what the estimator makes of them."""
-    w = S.worlds(spark, 40)
+    w = worlds(spark, d)
     return S.estimates(w, "world").join(w.select("world", "truth"), "world")
 
 
+@query()
+def top11_hypotheses(spark, d):
+    """TOP-11: the ranked explanations of each world."""
+    return S.hypotheses(worlds(spark, d), "world")
+
+
 @query()
 def sim03_convergence(spark, d):
-    starts = spark.range(50).select(F.col("id").alias("seed"), (F.lit(1.0) + (F.col("id") % 7 - 3) * 0.03).alias("flow_ratio"), F.lit(1.0).alias("latency_ratio"), (F.lit(1.0) + (F.col("id") % 5 - 2) * 0.04).alias("maf_ratio"))
+    """A closed loop for each document's id as the seed."""
+    seed = F.col("doc_id")
+    starts = table(spark, d, "documents").select(seed.alias("seed"), (F.lit(1.0) + (seed % 7 - 3) * 0.03).alias("flow_ratio"), F.lit(1.0).alias("latency_ratio"), (F.lit(1.0) + (seed % 5 - 2) * 0.04).alias("maf_ratio"))
     return S.convergence(starts)
 
 
