@@ -45,10 +45,11 @@ _LINK = re.compile(r"\[[^\]\n]*\]\([^)\n]*\)|(?:https?://|www\.)[^\s)\]>\"']+",
 _WORD = re.compile(r"[^\W\d_]+")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _HIRAGANA = re.compile(r"[぀-ゟ]")
-_DATA = re.compile(r"\b0x[0-9a-f]+|\b[0-9a-f]{16,}\b|\w\s*=\s*\w|\.{4,}\s*\d+\s*$|^\s*\w+:\s*\S+\s*$", re.I)
+#: What makes a line data, each with a text without which it needs no search.
+_DATA = tuple((mark, re.compile(p, re.I)) for mark, p in (("=", r"\w\s*=\s*\w"), (":", r"^\s*\w+:\s*\S+\s*$"), ("....", r"\.{4,}\s*\d+\s*$"), ("0x", r"\b0x[0-9a-f]+"), ("", r"\b[0-9a-f]{16,}\b")))
 _DIGITS = re.compile(r"\S*\d\S*")
 _ENDS = frozenset(".!?。！？")
-_SEPARATOR = re.compile(r"[,»|•·;、/]|\s[->–]\s|\s#")
+_SEPARATORS, _SPACED = ",»|•·;、/", re.compile(r"\s[->–]\s|\s#")
 #: Measures of a line with a threshold each, in the order of the columns.
 MEASURES = ("function_words", "links", "tags", "separators", "top_words", "word_pairs")
 BINS, SHORT, MIDWAY = 50, 60, 0.5
@@ -92,7 +93,7 @@ def measures(text: str) -> tuple[list[tuple], list[tuple]]:
             tokens = body.split()
             tags = sum(t[0] == "#" and len(t) > 2 and t[1] != "#" for t in tokens) / max(len(tokens), 1)
         if len(line) >= 40 and function > 0 and line.rstrip()[-1] in _ENDS:
-            sentences.append((function, linked, tags, len(_SEPARATOR.findall(body)) / max(n, 1)))
+            sentences.append((function, linked, tags, _separators(body) / max(n, 1)))
         if function <= _LOOSE or linked > 0.2 or tags > 0.2:
             doubtful.append((words, function, linked, tags, body, line))
     copies = Counter(d[5].strip() for d in doubtful)
@@ -100,16 +101,20 @@ def measures(text: str) -> tuple[list[tuple], list[tuple]]:
     shares = iter(_recurring([d[0] for d, x in zip(doubtful, listed) if x]))
     out = []
     for (words, function, linked, tags, body, line), x in zip(doubtful, listed):
-        separators = len(_SEPARATOR.findall(body)) / max(len(words), 1)
+        separators = _separators(body) / max(len(words), 1)
         out.append((len(line) + 1, copies[line.strip()], x, function, linked, tags, separators, *(next(shares) if x else (0.0, 0.0))))
     return sentences, out
 
 
 def _is_data(body: str, words: list[str]) -> bool:
-    if len(words) < 2 or _DATA.search(body):
+    if len(words) < 2 or len(_DIGITS.findall(body)) >= 0.4 * len(body.split()):
         return True
-    tokens = body.split()
-    return len(_DIGITS.findall(body)) >= 0.4 * len(tokens)
+    low = body.lower()
+    return any(mark in low and pattern.search(low) for mark, pattern in _DATA)
+
+
+def _separators(body: str) -> int:
+    return sum(map(body.count, _SEPARATORS)) + (len(_SPACED.findall(body)) if any(map(body.__contains__, "->–#")) else 0)
 
 
 _PAGE = [("doc_id", pa.int64()), ("lang", pa.string()), ("n_chars", pa.int64()), ("lines", pa.list_(pa.list_(pa.float64()))), ("measure", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())]
