@@ -9,8 +9,10 @@ from tunemill.operators import calibration as C
 from tunemill.operators import corpus
 from tunemill.operators import definitions as D
 from tunemill.operators import evaluation as E
+from tunemill.operators import images as I
 from tunemill.operators import simulation as S
 from tunemill.operators import telemetry
+from tunemill.sources import files
 
 
 def test_definitions_merge_the_nearest_and_survive_cycles(spark):
@@ -114,3 +116,23 @@ def test_maf_correction_edges(spark, extrapolate):
     want = {(1, 1): ("measured", 10.7), (1, 2): ("measured", 10.35)}
     ratio = (10 / 9 * 1.1 + 10 / 9 * 1.01) / 2
     assert out == want | ({(1, 4): ("extrapolated", round(9.5 * ratio, 4))} if extrapolate else {})
+
+
+def test_cells_and_axes(spark):
+    cells = spark.createDataFrame([(1, 0, 5.0), (1, 1, 6.0), (2, 0, None)], "t int, c int, value double")
+    edits = spark.createDataFrame([(1, 1, 9.0), (3, 0, 1.0)], "t int, c int, new double")
+    assert sorted(((r.t, r.c, r.value) for r in C.edited(cells, edits, ["t", "c"]).collect()), key=str) == [(1, 0, 5.0), (1, 1, 9.0), (2, 0, None)]
+    assert spark.range(1).select(I.cell_address(F.lit(1000), F.lit(2), F.lit(3), F.lit(10), "uint16")).first()[0] == 1000 + 23 * 2
+    steps = spark.range(1).select(I.step_size("x*2", "x/2", F.lit(10.0)), I.step_size("x", "x", F.lit(1.0))).first()
+    assert tuple(steps) == (0.5, 1.0)
+    rows = [([1.0, 2.0, 3.0],), ([3.0, 2.0, 1.0],), ([1.0, 1.0],), ([1.0, 99.0],), ([1.0, float("nan")],), ([5.0],), ([],), (None,), ([1.0, None],)]
+    d = spark.createDataFrame(rows, "v array<double>").select(I.plausible(F.col("v"), F.lit(0.0), F.lit(10.0)).alias("ok"))
+    assert [r.ok for r in d.collect()] == [True, True, False, False, False, True, True, False, False]
+
+
+def test_sources_are_fetched_by_name(spark):
+    files.register("counted", lambda session, path: session.range(int(path)))
+    try:
+        assert [(r.id, r.source) for r in files.fetch(spark, "counted", "2").collect()] == [(0, "counted"), (1, "counted")]
+    finally:
+        del files.REGISTRY["counted"]
