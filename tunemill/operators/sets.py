@@ -62,7 +62,8 @@ def links(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFra
     probe = F.col("n") - least(F.col("n"), u) + 1
     index = F.col("n") - least(2 * F.col("n"), t + u) + 1
     names = [f"m{k}" for k in range(LONGS)]
-    prefix = settle(ordered.select("rep", "n", *names, index.alias("_index"), F.posexplode(F.slice("_o", F.lit(1), probe))).select("rep", "n", *names, F.col("col.w").alias("w"), (F.col("pos") + 1).alias("p"), (F.col("pos") < F.col("_index")).alias("short")))
+    short = settle(ordered.select("rep", "n", *names, index.alias("_index"), F.transform(F.slice("_o", F.lit(1), probe), lambda x: x["w"]).alias("_p")))  # a row for each set; prefixes are spread out where they are joined
+    prefix = short.select("rep", "n", *names, "_index", F.posexplode("_p").alias("pos", "w")).select("rep", "n", *names, "w", (F.col("pos") + 1).alias("p"), (F.col("pos") < F.col("_index")).alias("short"))
     crowd = settle(prefix.groupBy("w").count().where(F.col("count") > GROUP).select("w", F.ceil(F.col("count") / GROUP).cast("int").alias("_salts")))
     salted = prefix.join(small(crowd), "w", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
     a = salted.where("short").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("_salts")).cast("int"))
