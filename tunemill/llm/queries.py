@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tunemill.llm import budget, chunking, cutoff, encode, lines, mix, pairs, spam
-from tunemill.session import source_name, table
+from tunemill.session import small, source_name, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p2_checks(spark: SparkSession, d: str) -> DataFrame:
     """Of each document that is cut: are all pieces within the limit, does each repeat just the overlap, is the text covered?"""
     docs, cfg = table(spark, d, "documents"), table(spark, d, "chunking_cfg")
     limits = cfg.where("max_chars > 0").groupBy("kind").agg(F.min("max_chars").alias("most"), F.min("overlap_chars").alias("overlap"))
-    each = chunking.pieces(docs, cfg).join(docs.join(F.broadcast(limits), "kind").select("doc_id", "most", "overlap", F.col("text").alias("whole")), "doc_id")
+    each = chunking.pieces(docs, cfg).join(docs.join(small(limits), "kind").select("doc_id", "most", "overlap", F.col("text").alias("whole")), "doc_id")
     fresh = F.when(F.col("piece_no") == 1, F.col("text")).otherwise(F.expr("substring(text, overlap + 1)"))
     again = (F.col("piece_no") == 1) | (F.expr("substring(whole, start + 1, overlap)") == F.expr("left(text, overlap)"))
     parts = each.select("doc_id", "piece_no", "whole", fresh.alias("fresh"), (F.length("text") <= F.col("most")).alias("fits"), again.alias("again"))
