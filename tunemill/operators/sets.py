@@ -1,25 +1,34 @@
 """Near-duplicate texts by the Jaccard similarity of their sets of words or of word shingles: exact links, classes, exemplars.
 
-Equal sets are one class before anything is joined. Two sets over the threshold share a word among the rarest of theirs: of
-the longer one all that a partner could miss, of the shorter one fewer still, so a join of these prefixes loses no link.
-Before a pair leaves the join it passes three bounds that no link fails: of lengths, of what can still follow the shared
-word, and of the words that bitmaps of both sets show to be in one only. What is left is nearly only links; they are
-verified on the sets. Words that many sets have in their prefix are salted: one side spread, the other copied.
+Equal sets are one class before anything is compared. The sets are ordered by length and packed into blocks, and every two
+blocks whose lengths allow a link meet in one task. There a set finds its partners in the cheaper of two ways, neither of
+which loses a link: by the rarest of its words, of which two sets over the threshold share one (of the longer set all that
+a partner could miss, of the shorter one fewer still), or, where these are too frequent, by bitmaps of all sets of fitting
+length. What is left passes a bound on larger bitmaps and is then counted exactly.
 
-Pairs come out between class representatives only, with the membership beside them.
+Pairs come out between class representatives only, with the membership beside them. For classes, where only the numbers of
+links and what hangs together matter, a task gives the links of a spanning forest and counts the others.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunemill.session import settle, small
+from tunemill.session import settle
 
-#: Longs of a bitmap, and the sets of one prefix word that one task compares with one another.
-LONGS, GROUP = 8, 1_000
+#: Longs of a bitmap: those with a bit for one item, of which the first are looked at alone at first, and those that the other items share.
+FIRST, OWN, SHARED = 3, 12, 4
+#: Items of a block at most; sets of a block at least, where there are under six blocks; sets whose links are put out at once.
+ITEMS, LEAST, GROUP = 1 << 23, 2_048, 1_000
 
 
 def words(text: Column) -> Column:
@@ -46,38 +55,189 @@ def classes(rows: DataFrame, key: str, items: Column) -> tuple[DataFrame, DataFr
     return hashed.join(reps.select("_h", "rep"), "_h").select(F.col("_k").alias(key), "rep"), reps.select("rep", "set")
 
 
+def _least(x, t: int, over: int, strict: bool):
+    """The least integer of at least (more than) t * x / over."""
+    return t * x // over + 1 if strict else -(-t * x // over)
+
+
+def _packed(reps: DataFrame) -> DataFrame:
+    """(no, least, most, reps, data): the sets in blocks by length; least and most are the lengths of a block."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    n, items = reps.agg(F.count("*"), F.coalesce(F.sum(F.size("set")), F.lit(0))).first()
+    blocks = max(1, min(6, -(-n // LEAST)), -(-items // ITEMS))
+    ordered = reps.select(F.size("set").alias("n"), "rep", "set").repartitionByRange(blocks, "n", "rep").sortWithinPartitions("n", "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        names, sizes, sets = [], [], []
+        for batch in batches:
+            names.append(batch.column("rep"))
+            sizes.append(batch.column("n").to_numpy())
+            sets.append(batch.column("set").flatten().to_numpy())
+        if sum(map(len, sizes)):
+            size = np.concatenate(sizes)
+            known, own = np.unique(np.concatenate(sets), return_inverse=True)
+            data = zlib.compress(pickle.dumps((size, known, own.astype(np.uint16 if len(known) < 1 << 16 else np.uint32))), 1)
+            every = pa.chunked_array(names).combine_chunks()
+            row = [[TaskContext.get().partitionId()], [int(size[0])], [int(size[-1])], pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every), pa.array([data], pa.binary())]
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, pa.int32()) for x in row], names=["no", "least", "most", "reps", "data"])
+
+    return settle(ordered.mapInArrow(run, f"no int, least int, most int, reps array<{kind}>, data binary"))
+
+
+def _met(reps: DataFrame, threshold: Fraction, strict: bool, told, schema: str) -> DataFrame:
+    """What told(reps of both blocks, whether they are the same one, links) yields for every two blocks that may have links."""
+    t, u = threshold.numerator, threshold.denominator
+    packed = _packed(reps)
+    blocks = packed.select("no", "least", "most").collect()  # a row for each block
+    pairs = [(a.no, b.no) for a in blocks for b in blocks if a.no <= b.no and a.most >= _least(b.least, t, u, strict)]
+    if not pairs:
+        return reps.sparkSession.createDataFrame([], schema)
+    asked = reps.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "_p int, a int, b int")
+    left, right = (packed.select(F.col("no").alias(c), F.col("reps").alias(f"{c}_reps"), F.col("data").alias(f"{c}_data")) for c in "ab")
+    both = asked.join(left, "a").join(right, "b").repartitionByRange(len(pairs), "_p").select("a", "b", "a_reps", "b_reps", "a_data", "b_data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                same = batch.column("a")[i].as_py() == batch.column("b")[i].as_py()
+                x, y = (pickle.loads(zlib.decompress(batch.column(c)[i].as_py())) for c in ("a_data", "b_data"))
+                yield from told(batch.column("a_reps")[i].values, batch.column("b_reps")[i].values, same, _found(x, y, same, t, u, strict))
+
+    return both.mapInArrow(run, schema)
+
+
+def _found(left: tuple, right: tuple, same: bool, t: int, u: int, strict: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number in right, numbers in left, items shared, items of both) of each set of right, none shorter, that has links.
+
+    In one block the numbers in left are the lower ones.
+    """
+    (n_a, known_a, a), (n_b, known_b, b) = left, right
+    known = np.union1d(known_a, known_b)
+    a, b = np.searchsorted(known, known_a)[a], np.searchsorted(known, known_b)[b]
+    df = np.bincount(a, minlength=len(known)) + (0 if same else np.bincount(b, minlength=len(known)))
+    sets = len(n_a) + (0 if same else len(n_b))
+    bit = 64 * OWN + np.arange(len(known)) % (64 * SHARED)
+    best = np.argsort(-np.minimum(df, sets - df), kind="stable")[: 64 * OWN]  # what half of the sets have tells most
+    bit[best] = np.arange(len(best))
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(df, kind="stable")] = np.arange(len(known))
+
+    def prepared(n: np.ndarray, items: np.ndarray):
+        owner = np.repeat(np.arange(len(n)), n)
+        at, bits = bit[items], np.zeros(len(n) * (OWN + SHARED), np.uint64)
+        np.bitwise_xor.at(bits, owner * (OWN + SHARED) + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        rest = at >= 64 * OWN
+        ordered = np.sort(owner * len(known) + rank[items]) - owner * len(known)  # ranks of each set, rare ones first
+        place = np.arange(len(items)) - np.repeat(np.cumsum(n) - n, n)
+        rest_n = np.bincount(owner[rest], minlength=len(n))
+        return owner, bits.reshape(len(n), -1), ordered, place, items[rest], rest_n, np.cumsum(rest_n) - rest_n
+
+    n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
+    owner_a, bits_a, ordered_a, place_a, rest_a, rest_n_a, rest_at_a = one = prepared(n_a, a)
+    owner_b, bits_b, ordered_b, place_b, rest_b, rest_n_b, rest_at_b = one if same else prepared(n_b, b)
+    need = _least(np.arange(int(n_a[-1]) + int(n_b[-1]) + 1), t, t + u, strict)
+    index = place_a < (n_a - _least(2 * n_a, t, t + u, strict) + 1)[owner_a]
+    posted = owner_a[index][np.argsort(ordered_a[index], kind="stable")]
+    length = np.bincount(ordered_a[index], minlength=len(known))
+    post_at = np.cumsum(length) - length
+    probe = (place_b < (n_b - _least(n_b, t, u, strict) + 1)[owner_b]) & (length[ordered_b] > 0)
+    asked, asked_n = ordered_b[probe], np.bincount(owner_b[probe], minlength=len(n_b))
+    asked_at, cost = np.cumsum(asked_n) - asked_n, np.bincount(owner_b[probe], length[asked], len(n_b))
+    lows = np.searchsorted(n_a, _least(n_b, t, u, strict))
+    first = [np.ascontiguousarray(bits_a[:, k]) for k in range(FIRST)]
+    marked, size, allowed = np.zeros(len(known), bool), -1, None
+    for j, (n, low) in enumerate(zip(n_b.tolist(), lows.tolist())):
+        high = j if same else len(n_a)
+        if low >= high:
+            continue
+        if 4 * cost[j] < high - low:
+            if not asked_n[j]:
+                continue
+            at = np.unique(np.concatenate([posted[post_at[w] : post_at[w] + length[w]] for w in asked[asked_at[j] : asked_at[j] + asked_n[j]]]))
+            at = at[(at >= low) & (at < high)]
+        else:
+            if n != size:  # the items in one set only that a link may have
+                size, allowed = n, np.clip(n_a + n - 2 * need[n_a + n], 0, 255).astype(np.uint8)
+            apart = np.bitwise_count(first[0][low:high] ^ bits_b[j, 0])
+            for k in range(1, FIRST):
+                apart += np.bitwise_count(first[k][low:high] ^ bits_b[j, k])
+            at = np.flatnonzero(apart <= allowed[low:high]) + low
+        if not len(at):
+            continue
+        apart = np.bitwise_count(bits_a[at] ^ bits_b[j])
+        own, both = np.add.reduce(apart[:, :OWN], axis=1, dtype=np.int64), n_a[at] + n
+        likely = both - own - np.add.reduce(apart[:, OWN:], axis=1, dtype=np.int64) >= 2 * need[both]
+        at, own, both = at[likely], own[likely], both[likely]
+        shared = (both - rest_n_a[at] - rest_n_b[j] - own) // 2  # of items with a bit of their own, exactly
+        if rest_n_b[j] and (lengths := rest_n_a[at]).any():
+            mine = rest_b[rest_at_b[j] : rest_at_b[j] + rest_n_b[j]]
+            marked[mine] = True
+            ends = np.cumsum(lengths)
+            of = rest_a[np.repeat(rest_at_a[at] - ends + lengths, lengths) + np.arange(ends[-1])]
+            shared = shared + np.bincount(np.repeat(np.arange(len(at)), lengths), marked[of], len(at)).astype(np.int64)
+            marked[mine] = False
+        sure = shared >= need[both]
+        if sure.any():
+            yield j, at[sure], shared[sure], both[sure]
+
+
 def links(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFrame:
     """(a, b, similarity) of representatives a < b with similarity of at least the threshold (more, if strict), each pair once."""
-    t, u = threshold.numerator, threshold.denominator
+    names = ["a", "b", "similarity"]
+
+    def told(a: pa.Array, b: pa.Array, same: bool, found: Iterator) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def batch() -> pa.RecordBatch:
+            x, y = a.take(pa.array(np.concatenate([at for _, at, *_ in held]))), b.take(pa.array(np.repeat([j for j, *_ in held], [len(at) for _, at, *_ in held])))
+            shared, both = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+            less = pc.less(x, y)
+            return pa.RecordBatch.from_arrays([pc.if_else(less, x, y), pc.if_else(less, y, x), pa.array(shared / (both - shared))], names=names)
+
+        for hit in found:
+            held.append(hit)
+            if len(held) >= GROUP:
+                yield batch()
+                held.clear()
+        if held:
+            yield batch()
+
+    kind = reps.schema["rep"].dataType.simpleString()
+    return _met(reps, threshold, strict, told, f"a {kind}, b {kind}, similarity double")
+
+
+def forest(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFrame:
+    """(a, b, links): links enough to connect what all links do, without a number; and with b null parts of each set's number of links."""
+
+    def told(a: pa.Array, b: pa.Array, same: bool, found: Iterator) -> Iterator[pa.RecordBatch]:
+        every = a if same else pa.concat_arrays([a, b])
+        before = 0 if same else len(a)
+        parent, degree, ends = np.arange(len(every)), np.zeros(len(every), np.int64), ([], [])
+        for j, at, *_ in found:
+            nodes = np.concatenate([[before + j], at])
+            degree[at] += 1
+            degree[before + j] += len(at)
+            roots = parent[nodes]
+            while (up := parent[roots]).tobytes() != roots.tobytes():
+                roots = up
+            parent[nodes] = roots
+            different, where = np.unique(roots, return_index=True)
+            if len(different) > 1:
+                parent[different] = roots[0]
+                new = nodes[where[different != roots[0]]]
+                ends[0].append(np.full(len(new), before + j))
+                ends[1].append(new)
+        if ends[0]:
+            x, y = (every.take(pa.array(np.concatenate(e))) for e in ends)
+            has = np.flatnonzero(degree)
+            names = ["a", "b", "links"]
+            yield pa.RecordBatch.from_arrays([x, y, pa.nulls(len(x), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([every.take(pa.array(has)), pa.nulls(len(has), every.type), pa.array(degree[has])], names=names)
 
-    def least(x: Column, over: int) -> Column:
-        """The least integer of at least (more than) t * x / over."""
-        return F.floor(F.lit(t) * x / over).cast("int") + 1 if strict else F.ceil(F.lit(t) * x / over).cast("int")
-
-    each = reps.select("rep", F.size("set").alias("n"), F.explode("set").alias("w"))
-    rarity = each.groupBy("w").agg(F.count("*").alias("_df"))
-    slot, bit = F.pmod(F.shiftright("w", 6), F.lit(LONGS)), F.expr("shiftleft(1L, cast(pmod(w, 64) as int))")
-    maps = [F.bit_or(F.when(slot == k, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{k}") for k in range(LONGS)]
-    ordered = each.join(rarity, "w").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("_df", "w"))).alias("_o"), *maps)
-    probe = F.col("n") - least(F.col("n"), u) + 1
-    index = F.col("n") - least(2 * F.col("n"), t + u) + 1
-    names = [f"m{k}" for k in range(LONGS)]
-    short = settle(ordered.select("rep", "n", *names, index.alias("_index"), F.transform(F.slice("_o", F.lit(1), probe), lambda x: x["w"]).alias("_p")))  # a row for each set; prefixes are spread out where they are joined
-    prefix = short.select("rep", "n", *names, "_index", F.posexplode("_p").alias("pos", "w")).select("rep", "n", *names, "w", (F.col("pos") + 1).alias("p"), (F.col("pos") < F.col("_index")).alias("short"))
-    crowd = settle(prefix.groupBy("w").count().where(F.col("count") > GROUP).select("w", F.ceil(F.col("count") / GROUP).cast("int").alias("_salts")))
-    salted = prefix.join(small(crowd), "w", "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-    a = salted.where("short").withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("_salts")).cast("int"))
-    b = salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    a, b = a.select(*(F.col(c).alias(f"a_{c}") for c in ("rep", "n", "w", "p", "salt", *names))), b.select(*(F.col(c).alias(f"b_{c}") for c in ("rep", "n", "w", "p", "salt", *names)))
-    shorter = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_rep") < F.col("b_rep")))
-    both = least(F.col("a_n") + F.col("b_n"), t + u)
-    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in names), F.lit(0))
-    close = shorter & (F.col("a_n") >= least(F.col("b_n"), u)) & (F.least(F.col("a_n") - F.col("a_p"), F.col("b_n") - F.col("b_p")) + 1 >= both) & (F.col("a_n") + F.col("b_n") - apart >= 2 * both)
-    pairs = a.join(b, (F.col("a_w") == F.col("b_w")) & (F.col("a_salt") == F.col("b_salt")) & close).select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
-    full = pairs.join(reps.select(F.col("rep").alias("a"), F.col("set").alias("sa")), "a").join(reps.select(F.col("rep").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    counted = full.select("a", "b", shared.alias("o"), (F.size("sa") + F.size("sb")).alias("n"))
-    return counted.where(F.col("o") >= least(F.col("n"), t + u)).select("a", "b", (F.col("o") / (F.col("n") - F.col("o"))).alias("similarity"))
+    kind = reps.schema["rep"].dataType.simpleString()
+    return _met(reps, threshold, strict, told, f"a {kind}, b {kind}, links bigint")
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "rep") -> DataFrame:
@@ -101,12 +261,12 @@ def near_duplicates(rows: DataFrame, key: str, items: Column, threshold: Fractio
     """(key, class, links): every row with items, its class and the number of links of its representative.
 
     With `without` rows that have no items (their text null, or without a word) come out too, each as a class of its own
-    without links. Runs jobs: sets, links and each round of the classes are settled.
+    without links. Runs jobs: sets, the forest of links and each round of the classes are settled.
     """
     member, reps = classes(rows, key, items)
-    found = settle(links(reps, threshold, strict))
-    degree = found.select(F.col("a").alias("rep")).unionByName(found.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
-    linked = components(degree.select("rep"), found).join(degree, "rep")
+    found = settle(forest(reps, threshold, strict))
+    degree = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    linked = components(degree.select("rep"), found.where("links is null").select("a", "b")).join(degree, "rep")
     out = member.join(linked, "rep", "left").select(key, F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     if not without:
         return out
