@@ -47,3 +47,11 @@ def test_links_that_all_sets_have_are_not_shuffled(spark, monkeypatch, least):
     out = sets.near_duplicates(rows, "doc_id", items, Fraction(3, 5), strict=True).collect()
     assert len(out) == n and {(r["class"], r.links) for r in out} == {(5, n - 1)}
     assert written(spark) - before < n * (n - 1) / 4
+
+
+def test_classes_of_a_chain_keep_estimates_short(spark):
+    n = 3_000
+    nodes, edges = spark.range(n).select(F.col("id").alias("rep")), spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    out = sets.components(nodes, edges)
+    assert {r["class"] for r in out.collect()} == {0}
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tunemill.session import settle
+from tunemill.session import scratch, settle
 
 #: Longs of a bitmap: those with a bit for one item, of which the first are looked at alone at first, and those that the other items share.
 FIRST, OWN, SHARED = 3, 12, 4
@@ -209,12 +209,15 @@ def links(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFra
 
 
 def forest(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFrame:
-    """(a, b, links): links enough to connect what all links do, without a number; and with b null parts of each set's number of links."""
+    """(a, b, links): pairs that connect what all links do, without a number; and with b null parts of each set's number of links.
+
+    The pairs of a task are stars: each set with one of those that its links reach there.
+    """
 
     def told(a: pa.Array, b: pa.Array, same: bool, found: Iterator) -> Iterator[pa.RecordBatch]:
         every = a if same else pa.concat_arrays([a, b])
         before = 0 if same else len(a)
-        parent, degree, ends = np.arange(len(every)), np.zeros(len(every), np.int64), ([], [])
+        parent, degree = np.arange(len(every)), np.zeros(len(every), np.int64)
         for j, at, *_ in found:
             nodes = np.concatenate([[before + j], at])
             degree[at] += 1
@@ -223,15 +226,12 @@ def forest(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFr
             while (up := parent[roots]).tobytes() != roots.tobytes():
                 roots = up
             parent[nodes] = roots
-            different, where = np.unique(roots, return_index=True)
-            if len(different) > 1:
-                parent[different] = roots[0]
-                new = nodes[where[different != roots[0]]]
-                ends[0].append(np.full(len(new), before + j))
-                ends[1].append(new)
-        if ends[0]:
-            x, y = (every.take(pa.array(np.concatenate(e))) for e in ends)
-            has = np.flatnonzero(degree)
+            parent[np.unique(roots)] = roots[0]
+        if (has := np.flatnonzero(degree)).size:
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent = up
+            below = np.flatnonzero(parent != np.arange(len(every)))
+            x, y = every.take(pa.array(parent[below])), every.take(pa.array(below))
             names = ["a", "b", "links"]
             yield pa.RecordBatch.from_arrays([x, y, pa.nulls(len(x), pa.int64())], names=names)
             yield pa.RecordBatch.from_arrays([every.take(pa.array(has)), pa.nulls(len(has), every.type), pa.array(degree[has])], names=names)
@@ -243,15 +243,19 @@ def forest(reps: DataFrame, threshold: Fraction, strict: bool = False) -> DataFr
 def components(nodes: DataFrame, edges: DataFrame, node: str = "rep") -> DataFrame:
     """(node, class): the least node of each connected component, by repeated minimum of neighbours with pointer jumping.
 
-    It goes on until nothing moves.
+    It goes on until nothing moves. Labels are written and read again: a checkpoint keeps the size that was estimated for its
+    plan, a product over all joins before it, a number whose digits triple with each round until the driver has no room.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    spark = nodes.sparkSession
+    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = settle(nodes.select(F.col(node).alias("_n"), F.col(node).alias("_c")))
     while True:
         near = both.join(label, both.b == label["_n"]).groupBy("a").agg(F.min("_c").alias("_m"))
         step = label.join(near, label["_n"] == near.a, "left").select("_n", F.least("_c", F.coalesce("_m", "_c")).alias("_c"), F.col("_c").alias("_old"))
         jump = step.select(F.col("_n").alias("_j"), F.col("_c").alias("_jc"))
-        new = settle(step.join(jump, F.col("_c") == F.col("_j"), "left").select("_n", F.least("_c", F.coalesce("_jc", "_c")).alias("_c"), "_old"))
+        path = scratch(spark, "labels")
+        step.join(jump, F.col("_c") == F.col("_j"), "left").select("_n", F.least("_c", F.coalesce("_jc", "_c")).alias("_c"), "_old").write.parquet(path)
+        new = spark.read.parquet(path)
         label = new.select("_n", "_c")
         if not new.where("_c <> _old").limit(1).count():
             return label.select(F.col("_n").alias(node), F.col("_c").alias("class"))
