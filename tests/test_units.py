@@ -8,6 +8,7 @@ import pytest
 from tunemill.functions.quantities import first_unit, number, read
 from tunemill.operators import units
 from tunemill.plans import problems
+from tunemill.plans import problems
 
 
 @pytest.mark.parametrize(("text", "value"), [
@@ -161,3 +162,12 @@ def test_a_stated_change_of_unit_shows_in_the_figures_as_written(spark, tmp_path
         (12, None, "kPa", None, True), (6, "kPa>psi", "psi", "kPa>psi", True), (1, None, "kPa", None, True), (1, None, "kPa", None, True),
     ]
     assert out[3].factor < 0.01
+
+
+def test_found_has_figures_at_the_lower_end_of_their_tolerance(spark, tmp_path):
+    rows = [(1, "a", "14.2152 psi", "100", "kPa", 2.0), (2, "b", "14.79 psi", "100", "kPa", 2.0), (3, "c", "14.2 psi", "100", "kPa", 2.0), (4, "d", "98.01 kPa", "100", "kPa", 2.0)]
+    answers(spark, rows).write.parquet(f"{tmp_path}/e2_answers.parquet")
+    spark.createDataFrame([tuple(n.split()) for n in NAMES], "quantity string, common_unit string").write.parquet(f"{tmp_path}/unit_target.parquet")
+    found = problems.p7_found(spark, str(tmp_path))
+    assert sorted(r.row_id for r in found.collect()) == [1, 2]
+    assert "MapInPandas" not in found._jdf.queryExecution().toString()

@@ -21,7 +21,12 @@ def p5_cutoffs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return units.agreeing(units.unit_marks(table(spark, d, "e2_answers"), table(spark, d, "unit_target")))
+    """Rows that state another unit than expected and agree when converted.
+
+    What an answer states decides, not its history: for such a row the marks of unit_marks can only confirm the stated unit,
+    or miss it where a figure is low within its tolerance. p7_marks shows what the search finds without the stated units.
+    """
+    return units.measurements(table(spark, d, "e2_answers"), table(spark, d, "unit_target")).where("agrees and unit <> expected_unit").select("row_id")
 
 
 def p7_marks(spark: SparkSession, d: str) -> DataFrame:
