@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tunemill.operators import retrieval as R
+from tunemill.plans import core
 
 
 def brute(queries, docs, k):
@@ -54,3 +55,14 @@ def test_bm25_does_not_shuffle_a_row_for_each_query_and_document(spark):
     rows = R.bm25(asked, d, "q", "doc_id", F.col("text"), 3).collect()
     assert len(rows) == 1_200 and all(r.doc_id == r.q for r in rows if r["rank"] == 1)
     assert written(spark) - before < 400 * 2_000 / 10
+
+
+@pytest.mark.parametrize("name, rows", [("ret06_grounding", 150)])
+def test_queries_do_not_shuffle_a_row_for_each_query_and_document(spark, tmp_path, name, rows):
+    tier = F.when(F.col("id") % 40 == 0, "community").otherwise("reference")
+    d = spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit("common other").alias("title"), F.lit("common other term").alias("text"), tier.alias("tier"), F.lit("one").alias("source"))
+    d.where("doc_id < 2000").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(20).select(F.col("id").alias("vec_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = written(spark)
+    assert core.QUERIES[name](spark, str(tmp_path)).count() == rows
+    assert written(spark) - before < 100 * 2_000 / 4
