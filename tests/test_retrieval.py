@@ -57,7 +57,7 @@ def test_bm25_does_not_shuffle_a_row_for_each_query_and_document(spark):
     assert written(spark) - before < 400 * 2_000 / 10
 
 
-@pytest.mark.parametrize("name, rows", [("ret06_grounding", 150), ("ret03_fusion", 2_000), ("ret05_tiers", 2_000)])
+@pytest.mark.parametrize("name, rows", [("ret06_grounding", 150), ("ret03_fusion", 2_000), ("ret05_tiers", 2_000), ("win10_ret04_capped", 2_000)])
 def test_queries_do_not_shuffle_a_row_for_each_query_and_document(spark, tmp_path, name, rows):
     tier = F.when(F.col("id") % 40 == 0, "community").otherwise("reference")
     d = spark.range(4_000).select(F.col("id").alias("doc_id"), F.lit("common other").alias("title"), F.lit("common other term").alias("text"), tier.alias("tier"), F.lit("one").alias("source"))
