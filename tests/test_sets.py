@@ -55,3 +55,16 @@ def test_classes_of_a_chain_keep_estimates_short(spark):
     out = sets.components(nodes, edges)
     assert {r["class"] for r in out.collect()} == {0}
     assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 63
+
+
+def test_items_are_found_once_for_each_row(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def split(text):
+        seen.add(1)
+        return None if text is None else [hash(w) for w in sorted(set(text.split()))]
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d", "b a d c", "a b c d e", "x", "", None])], "doc_id bigint, text string")
+    out = sets.near_duplicates(rows, "doc_id", F.udf(split, "array<bigint>")("text"), Fraction(3, 5), without=True).collect()
+    assert sorted((r.doc_id, r["class"], r.links) for r in out) == [(0, 0, 1), (1, 0, 1), (2, 0, 1), (3, 3, 0), (4, 4, 0), (5, 5, 0)]
+    assert seen.value == 6

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tunemill.session import scratch, settle
 
 #: Longs of a bitmap: those with a bit for one item, of which the first are looked at alone at first, and those that the other items share.
-FIRST, OWN, SHARED = 3, 12, 4
+FIRST, OWN, SHARED = 4, 12, 4
 #: Items of a block at most; sets of a block at least, where there are under six blocks; sets whose links are put out at once.
 ITEMS, LEAST, GROUP = 1 << 23, 2_048, 1_000
 
@@ -47,12 +47,23 @@ def shingles(text: Column, n: int = 5) -> Column:
     return F.element_at(F.transform(F.array(found), runs), 1)
 
 
+def _hashed(rows: DataFrame, key: str, items: Column) -> DataFrame:
+    """(key, _s, _n, _h) of every row, written so that items are found once: the set in order, its size, 128 bits of a hash."""
+    path = scratch(rows.sparkSession, "sets")
+    found = rows.select(F.col(key), F.sort_array(items).alias("_s")).select(key, F.element_at(F.transform(F.array("_s"), lambda s: F.struct(s.alias("_s"), F.greatest(F.size(s), F.lit(0)).alias("_n"), F.struct(F.xxhash64(s), F.xxhash64(F.lit(1), s)).alias("_h"))), 1).alias("_r"))
+    found.select(key, "_r.*").write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def classes(rows: DataFrame, key: str, items: Column) -> tuple[DataFrame, DataFrame]:
     """Membership (key, rep) of every row with items, and one row (rep, set) for each different set."""
-    sets = rows.select(F.col(key).alias("_k"), F.array_sort(items).alias("_s")).where(F.size("_s") > 0)
-    hashed = sets.withColumn("_h", F.sha2(F.array_join(F.transform("_s", lambda x: x.cast("string")), " "), 256))
-    reps = settle(hashed.groupBy("_h").agg(F.min("_k").alias("rep"), F.first("_s").alias("set")))
-    return hashed.join(reps.select("_h", "rep"), "_h").select(F.col("_k").alias(key), "rep"), reps.select("rep", "set")
+    return _classes(_hashed(rows, key, items), key)
+
+
+def _classes(hashed: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    some = hashed.where("_n > 0")
+    reps = settle(some.groupBy("_h", "_n").agg(F.min(key).alias("rep"), F.first("_s").alias("set")))
+    return some.select(key, "_h", "_n").join(reps.select("_h", "_n", "rep"), ["_h", "_n"]).select(key, "rep"), reps.select("rep", "set")
 
 
 def _least(x, t: int, over: int, strict: bool):
@@ -146,8 +157,8 @@ def _found(left: tuple, right: tuple, same: bool, t: int, u: int, strict: bool)
     asked, asked_n = ordered_b[probe], np.bincount(owner_b[probe], minlength=len(n_b))
     asked_at, cost = np.cumsum(asked_n) - asked_n, np.bincount(owner_b[probe], length[asked], len(n_b))
     lows = np.searchsorted(n_a, _least(n_b, t, u, strict))
-    first = [np.ascontiguousarray(bits_a[:, k]) for k in range(FIRST)]
-    marked, size, allowed = np.zeros(len(known), bool), -1, None
+    own_bits = [np.ascontiguousarray(bits_a[:, k]) for k in range(OWN)]
+    marked, size, allowed, few = np.zeros(len(known), bool), -1, None, None
     for j, (n, low) in enumerate(zip(n_b.tolist(), lows.tolist())):
         high = j if same else len(n_a)
         if low >= high:
@@ -159,11 +170,18 @@ def _found(left: tuple, right: tuple, same: bool, t: int, u: int, strict: bool)
             at = at[(at >= low) & (at < high)]
         else:
             if n != size:  # the items in one set only that a link may have
-                size, allowed = n, np.clip(n_a + n - 2 * need[n_a + n], 0, 255).astype(np.uint8)
-            apart = np.bitwise_count(first[0][low:high] ^ bits_b[j, 0])
+                size, allowed = n, (n_a + n - 2 * need[n_a + n]).astype(np.int32)
+                few = np.clip(allowed, 0, 255).astype(np.uint8)
+            apart = np.bitwise_count(own_bits[0][low:high] ^ bits_b[j, 0])
             for k in range(1, FIRST):
-                apart += np.bitwise_count(first[k][low:high] ^ bits_b[j, k])
-            at = np.flatnonzero(apart <= allowed[low:high]) + low
+                apart += np.bitwise_count(own_bits[k][low:high] ^ bits_b[j, k])
+            at = np.flatnonzero(apart <= few[low:high])
+            apart, at = apart[at].astype(np.int32), at + low
+            for k in range(FIRST, OWN):  # the others of those that are left, which are fewer each time
+                apart += np.bitwise_count(own_bits[k][at] ^ bits_b[j, k])
+                if (k - FIRST) % FIRST == FIRST - 1 or k == OWN - 1:
+                    near = apart <= allowed[at]
+                    at, apart = at[near], apart[near]
         if not len(at):
             continue
         apart = np.bitwise_count(bits_a[at] ^ bits_b[j])
@@ -267,14 +285,15 @@ def near_duplicates(rows: DataFrame, key: str, items: Column, threshold: Fractio
     With `without` rows that have no items (their text null, or without a word) come out too, each as a class of its own
     without links. Runs jobs: sets, the forest of links and each round of the classes are settled.
     """
-    member, reps = classes(rows, key, items)
+    hashed = _hashed(rows, key, items)
+    member, reps = _classes(hashed, key)
     found = settle(forest(reps, threshold, strict))
     degree = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(degree.select("rep"), found.where("links is null").select("a", "b")).join(degree, "rep")
     out = member.join(linked, "rep", "left").select(key, F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
     if not without:
         return out
-    none = rows.where(F.coalesce(F.size(items), F.lit(0)) <= 0).select(key, F.col(key).alias("class"), F.lit(0).cast("bigint").alias("links"))
+    none = hashed.where("_n = 0").select(key, F.col(key).alias("class"), F.lit(0).cast("bigint").alias("links"))
     return out.unionByName(none)
 
 
