@@ -38,10 +38,10 @@ def words(text: Column) -> Column:
 
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct hashes of runs of n words in lower case; a shorter text is one run, a text without words has none."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))
+    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")), lambda w: F.xxhash64(w))
 
     def runs(w: Column) -> Column:  # w is bound once; in the expression itself it would be extracted anew for each run
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
         return F.when(F.size(w) > 0, F.array_distinct(each))
 
     return F.element_at(F.transform(F.array(found), runs), 1)
