@@ -36,9 +36,14 @@ def words(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{3,})")), lambda w: F.xxhash64(w)))
 
 
+def hashed_words(text: Column) -> Column:
+    """Hashes of the runs of letters and digits of a text in lower case, in their order."""
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")), lambda w: F.xxhash64(w))
+
+
 def shingles(text: Column, n: int = 5) -> Column:
     """Distinct hashes of runs of n words in lower case; a shorter text is one run, a text without words has none."""
-    found = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)")), lambda w: F.xxhash64(w))
+    found = hashed_words(text)
 
     def runs(w: Column) -> Column:  # w is bound once; in the expression itself it would be extracted anew for each run
         each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
@@ -288,13 +293,17 @@ def near_duplicates(rows: DataFrame, key: str, items: Column, threshold: Fractio
     hashed = _hashed(rows, key, items)
     member, reps = _classes(hashed, key)
     found = settle(forest(reps, threshold, strict))
+    return linked(member, hashed.where("_n = 0") if without else None, found, key)
+
+
+def linked(member: DataFrame, none: DataFrame | None, found: DataFrame, key: str) -> DataFrame:
+    """(key, class, links) of the members, by what forest found, and of the rows that have no items, if given."""
     degree = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    linked = components(degree.select("rep"), found.where("links is null").select("a", "b")).join(degree, "rep")
-    out = member.join(linked, "rep", "left").select(key, F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
-    if not without:
+    joined = components(degree.select("rep"), found.where("links is null").select("a", "b")).join(degree, "rep")
+    out = member.join(joined, "rep", "left").select(key, F.coalesce("class", "rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+    if none is None:
         return out
-    none = hashed.where("_n = 0").select(key, F.col(key).alias("class"), F.lit(0).cast("bigint").alias("links"))
-    return out.unionByName(none)
+    return out.unionByName(none.select(key, F.col(key).alias("class"), F.lit(0).cast("bigint").alias("links")))
 
 
 def exemplars(member: DataFrame, rows: DataFrame, key: str, depth: Column, length: Column) -> DataFrame:
